@@ -40,6 +40,15 @@ def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
+def normal_line(line: Column) -> Column:
+    """Letters in lower case, each run of white space as one space, none at the ends."""
+    return F.trim(F.regexp_replace(F.lower(line), r"[ \t\n\x0B\f\r]{2,}|[\t\n\x0B\f\r]", " "))
+
+
+def spaces(line: Column) -> Column:
+    return F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit("")))
+
+
 def partitions_for(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
@@ -48,3 +57,19 @@ def fold(doc_id: Column | str = "doc_id") -> Column:
     """crc32 of the id as text, modulo 5; 0 marks the held-out fifth."""
     c = F.col(doc_id) if isinstance(doc_id, str) else doc_id
     return F.crc32(F.coalesce(c.cast("string"), F.lit("")).cast("binary")) % F.lit(5)
+
+
+def bounded_sample(df: DataFrame, label: str, key: str, salts: int, per_salt: int) -> list[tuple]:
+    """(label, key) of at most `salts * per_salt` rows a label, the same ones for the same rows.
+
+    Rows are dealt to `salts` groups by a hash of the key, and each group gives its
+    first rows by another hash, so no label's rows meet in one task. Labels must be
+    few; of repeated keys one row counts.
+    """
+    from pyspark.sql import Window
+
+    rows = df.where(F.col(label).isNotNull() & F.col(key).isNotNull()).select(label, key).distinct()
+    rows = rows.withColumn("salt", F.pmod(F.xxhash64(F.lit("salt"), key), F.lit(salts)))
+    order = Window.partitionBy(label, "salt").orderBy(F.xxhash64(F.lit("order"), key), key)
+    got = rows.withColumn("place", F.row_number().over(order)).where(F.col("place") <= per_salt).collect()
+    return sorted(((r[label], r[key]) for r in got), key=lambda x: (str(x[0]), x[1]))

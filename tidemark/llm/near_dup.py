@@ -39,10 +39,8 @@ PERCENT = 85
 HALVES = 14
 ROWS = 5
 _SEEDS = np.random.default_rng(7).integers(1, 2**63, (HALVES * ROWS, 2), dtype=np.uint64) | np.uint64(1)
-#: Least number of the HALVES * ROWS minhashes that must agree (one byte each) for
-#: a pair outside the stars to be compared: six standard deviations below what a
-#: pair at the threshold has.
-_AGREE = int(HALVES * ROWS * PERCENT / 100 - 6 * (HALVES * ROWS * PERCENT / 100 * (1 - PERCENT / 100)) ** 0.5)
+#: A one-permutation sketch: the hash space in BINS parts, of each the smallest shingle as one byte (0: none).
+BINS = 512
 
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -59,6 +57,12 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 high[full] = np.add.reduceat(textvec.mix(values ^ np.uint64(0x5851F42D4C957F2D)), first[full])
                 for k, (a, b) in enumerate(_SEEDS):
                     hashes[full, k] = np.minimum.reduceat(values * a + b, first[full])
+            # Values come ascending in each row, so the first in a part of the hash space is its smallest.
+            bins = np.zeros((n, BINS), np.uint8)
+            owner, part_of = np.repeat(np.arange(n), sizes), (values >> np.uint64(55)).astype(np.int64)
+            lead = np.ones(len(values), bool)
+            lead[1:] = (part_of[1:] != part_of[:-1]) | (owner[1:] != owner[:-1])
+            bins[owner[lead], part_of[lead]] = values[lead] % np.uint64(255) + np.uint64(1)
             mixed = textvec.mix(hashes)
             halves = np.zeros((n, HALVES), np.uint64)
             for k in range(ROWS):
@@ -70,9 +74,9 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     pa.array(low.view(np.int64)),
                     pa.array(high.view(np.int64)),
                     pa.array([x.tobytes() for x in textvec.mix(halves)], pa.binary()),
-                    pa.array([x.tobytes() for x in mixed.astype(np.uint8)], pa.binary()),
+                    pa.array([x.tobytes() for x in bins], pa.binary()),
                 ],
-                names=["doc_id", "n_shingles", "set_low", "set_high", "halves", "bytes"],
+                names=["doc_id", "n_shingles", "set_low", "set_high", "halves", "bins"],
             )
 
 
@@ -115,6 +119,19 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep)), batch.column(1).filter(pa.array(keep))], names=["a", "b"])
 
 
+def _likely(x: np.ndarray, y: np.ndarray, total: np.ndarray) -> np.ndarray:
+    """Whether sketches allow the threshold: their estimate is within five standard deviations of it or above.
+
+    Each part of the hash space that either row fills samples one shingle of the union, without replacement.
+    """
+    sampled = np.maximum(((x | y) != 0).sum(axis=1), 1)
+    same = ((x == y) & (x != 0)).sum(axis=1)
+    level = PERCENT / 100
+    union = np.maximum(total / (1 + level), sampled)
+    spread = np.sqrt(level * (1 - level) / sampled * np.maximum(1 - sampled / union, 0.03))
+    return same / sampled >= level - 5 * spread - 1 / sampled
+
+
 def _rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs of one key and different components that may be similar.
 
@@ -128,7 +145,7 @@ def _rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key = rows.column("key").to_numpy()
         edges = np.flatnonzero(np.diff(key)) + 1
         ids, parts, sizes = (rows.column(c).to_numpy() for c in ("doc_id", "component", "n_shingles"))
-        marks = np.frombuffer(b"".join(rows.column("bytes").to_pylist()), np.uint8).reshape(len(key), -1)
+        marks = np.frombuffer(b"".join(rows.column("bins").to_pylist()), np.uint8).reshape(len(key), -1)
         left, right = [], []
         for a, b in zip([0, *edges], [*edges, len(key)], strict=True):
             for i in range(a, b, 512):
@@ -141,10 +158,11 @@ def _rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     p, q = p + i, q + j
                     good = p < q
                     p, q = p[good], q[good]
-                    for k in range(0, len(p), 4096):
-                        close = (marks[p[k : k + 4096]] == marks[q[k : k + 4096]]).sum(axis=1) >= _AGREE
-                        left.append(ids[p[k : k + 4096]][close])
-                        right.append(ids[q[k : k + 4096]][close])
+                    for k in range(0, len(p), 2048):
+                        u, v = p[k : k + 2048], q[k : k + 2048]
+                        close = _likely(marks[u], marks[v], sizes[u] + sizes[v])
+                        left.append(ids[u][close])
+                        right.append(ids[v][close])
         if left:
             one, two = np.concatenate(left), np.concatenate(right)
             found = np.unique(np.stack([np.minimum(one, two), np.maximum(one, two)]), axis=1)
@@ -198,11 +216,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     n = partitions_for(docs)
     docs = docs.where("doc_id is not null").select("doc_id", "text")
     # One row an id; by far most tables have no repeated id, and then this moves ids only.
-    sketches = stored(docs.mapInArrow(_sketch, "doc_id long, n_shingles long, set_low long, set_high long, halves binary, bytes binary"))
+    sketches = stored(docs.mapInArrow(_sketch, "doc_id long, n_shingles long, set_low long, set_high long, halves binary, bins binary"))
     whole = sketches.groupBy("doc_id").agg(F.min(F.struct("set_low", "set_high", "n_shingles")).alias("s"))
     whole = whole.select("doc_id", "s.*")
     filled = sketches.where("n_shingles > 0")
-    distinct = stored(filled.groupBy("set_low", "set_high", "n_shingles").agg(F.min(F.struct("doc_id", "halves", "bytes")).alias("s")).select("set_low", "set_high", "n_shingles", "s.*"))
+    distinct = stored(filled.groupBy("set_low", "set_high", "n_shingles").agg(F.min(F.struct("doc_id", "halves", "bins")).alias("s")).select("set_low", "set_high", "n_shingles", "s.*"))
     keys = distinct.select("doc_id", "halves")
     members = keys.select("doc_id", "halves").mapInArrow(_table_keys, "key long, doc_id long")
     stars = members.groupBy("key").agg(F.min("doc_id").alias("head"), F.count("*").alias("n")).where("n > 1")
@@ -214,8 +232,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     first = stored(components(links))
     placed = found.join(first, "doc_id", "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("component"))
     open_keys = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("key")
-    rest = placed.join(open_keys, "key", "left_semi").join(distinct.select("doc_id", "n_shingles", "bytes"), "doc_id")
-    pairs = rest.select("key", "doc_id", "component", "n_shingles", "bytes").repartition(n, "key").sortWithinPartitions("key").mapInArrow(_rest, "a long, b long").distinct()
+    rest = placed.join(open_keys, "key", "left_semi").join(distinct.select("doc_id", "n_shingles", "bins"), "doc_id")
+    pairs = rest.select("key", "doc_id", "component", "n_shingles", "bins").repartition(n, "key").sortWithinPartitions("key").mapInArrow(_rest, "a long, b long").distinct()
     more = _confirmed(pairs, sets)
     groups = components(links.union(more))
     placed = distinct.join(groups, "doc_id", "left").select("set_low", "set_high", F.coalesce("component", "doc_id").alias("component_id"))
