@@ -218,13 +218,18 @@ def batches_of(pages: list[np.ndarray]) -> Iterator[list[int]]:
         yield own
 
 
-def main_mask(net: Net, pages: list[np.ndarray]) -> list[np.ndarray]:
+def main_mask(net: Net, pages: list[list[tuple[tuple[str, ...], str, float]]]) -> list[np.ndarray]:
+    """Which blocks of each page are main text: a block's own score and the mean score of its tag path decide together."""
+    read = [features(p) for p in pages]
     out = [np.zeros(len(p), bool) for p in pages]
-    for own in batches_of(pages):
-        x, mask = _padded([pages[k] for k in own])
-        z = net.logits(x, mask) >= 0
+    for own in batches_of(read):
+        x, mask = _padded([read[k] for k in own])
+        z = net.logits(x, mask)
         for j, k in enumerate(own):
-            out[k] = z[: len(pages[k]), j]
+            paths: dict[tuple[str, ...], int] = {}
+            which = np.array([paths.setdefault(p, len(paths)) for p, _, _ in pages[k]])
+            score = np.clip(z[: len(which), j], -6, 6)
+            out[k] = score + (np.bincount(which, weights=score) / np.bincount(which))[which] >= 0
     return out
 
 
@@ -371,7 +376,7 @@ def extract(pages: DataFrame, net: Net) -> DataFrame:
                 part = batch.slice(k, 200)
                 found = [blocks(x) for x in part.column(2).to_pylist()]
                 texts = []
-                for page, keep in zip(found, main_mask(net, [features(p) for p in found]), strict=True):
+                for page, keep in zip(found, main_mask(net, found), strict=True):
                     texts.append("\n".join(t for (_, t, _), own in zip(page, keep, strict=True) if own))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 

@@ -9,7 +9,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import html_blocks, language_id, line_dedup, near_dup, packing, quality_rules, quotes, secrets, tiling, toxicity
+from tidemark.llm import html_blocks, language_id, line_dedup, near_dup, oracles, packing, quality_rules, quotes, secrets, tiling, toxicity
 from tidemark.llm.common import table
 
 
@@ -73,4 +73,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Queries without an entry are held against brute force, exact round trips or held-out labels in tests."""
+    return {
+        "op2_quality_rules": oracles.QUALITY,
+        "op3_line_dedup": oracles.LINES,
+        "op5_secret_scan": oracles.SECRETS,
+        "op9_minhash_near_dedup": oracles.NEAR,
+    }

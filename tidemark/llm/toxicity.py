@@ -10,7 +10,7 @@ finds all maximal segments of positive score in a document.
 Under the clean model the best segment of n words follows an extreme-value law with
 parameter lambda, the root of E[exp(lambda * s)] = 1. A segment of score S has
 E = n * exp(-lambda * S) expected rivals; a document's evidence is -log E of its best
-segment and the sum over its significant segments. A logistic curve, fitted on a
+segment and the sum of lambda * S over all its segments. A logistic curve, fitted on a
 part of the sample that the token scores have not seen, turns the evidence into the
 score. Fitting uses a bounded sample of labelled rows (`SALTS * PER_SALT` a class).
 
@@ -37,10 +37,10 @@ from tidemark.llm.common import bounded_sample, fold
 
 #: Prefix lengths of the chain of priors; 0 stands for the whole word.
 LEVELS = (3, 4, 5, 6, 0)
-PRIOR = 4.0
-DRIFT = 1.0
+PRIOR = 50.0
+DRIFT = 1.5
 #: A token is worth a look if it or a longer form of it scores above this.
-HOT = 0.7
+HOT = 1.5
 SALTS, PER_SALT = 64, 60
 SIGNIFICANT = 0.05
 
@@ -51,7 +51,7 @@ class Model:
     scores: list[np.ndarray]
     background: float
     rate: float  # lambda
-    weights: np.ndarray  # of the logistic curve: 1, best evidence, sum of significant evidence
+    weights: np.ndarray  # of the logistic curve: 1, best evidence, sum statistic
 
     def token_scores(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(places, scores) of the words that any level knows; all others score `background`."""
@@ -93,10 +93,8 @@ def maximal_segments(places: np.ndarray, scores: np.ndarray, background: float)
 
 
 def evidence(segments: list[tuple[int, int, float]], words: int, rate: float) -> tuple[float, float]:
-    """-log E of the best segment, and the sum of those of the significant ones; 0 without any."""
-    values = [rate * s - math.log(max(words, 1)) for _, _, s in segments]
-    limit = -math.log(SIGNIFICANT)
-    return max([0.0, *values]), sum(v for v in values if v >= limit)
+    """-log E of the best segment (0 without any), and the sum statistic: all segments' scores in units of 1 / lambda."""
+    return max([0.0, *(rate * s - math.log(max(words, 1)) for _, _, s in segments)]), rate * sum(s for _, _, s in segments)
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -107,7 +105,10 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             chain = np.zeros((len(starts), len(LEVELS)), np.uint64)
             for k, level in enumerate(LEVELS):
                 chain[:, k] = textvec.word_hashes(data, starts, np.minimum(ends, starts + level) if level else ends, lower=True)
-            # A word with all its prefixes is one row; the chain is what the priors follow.
+            # A word counts once a document. With all its prefixes it is one row; the chain is what the priors follow.
+            owner = np.repeat(np.arange(part.num_rows), np.diff(first))
+            _, once = np.unique(textvec.mix(chain[:, -1] ^ textvec.mix(owner.astype(np.uint64) + np.uint64(1))), return_index=True)
+            chain, toxic = chain[once], toxic[once]
             whole, index, back = np.unique(chain[:, -1], return_index=True, return_inverse=True)
             bad = np.bincount(back, weights=toxic, minlength=len(whole)).astype(np.int64)
             all_ = np.bincount(back, minlength=len(whole)).astype(np.int64)
