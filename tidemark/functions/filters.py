@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from functools import reduce
 from typing import Any
 
@@ -28,7 +28,7 @@ class Filter:
     operator: str
     field: str = ""
     value: Any = None
-    values: tuple = field(default=())
+    values: tuple = ()
     low: Any = None
     high: Any = None
     temporal: bool = False
