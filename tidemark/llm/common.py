@@ -36,8 +36,19 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def text_or_empty(name: str = "text") -> Column:
-    return F.coalesce(F.col(name), F.lit(""))
+def packed(docs: DataFrame, *more: str) -> DataFrame:
+    """doc_id, text and `more`, and the whole row as one struct, out of the way of helper columns."""
+    whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__whole")
+    return docs.select("doc_id", "text", *more, whole)
+
+
+def unpacked(rows: DataFrame, docs: DataFrame, text: Column) -> DataFrame:
+    """The columns of `docs` again, with `text` and its length in place of the old ones."""
+    columns = [F.col(f"__whole.`{c}`").alias(c) for c in docs.columns]
+    columns[docs.columns.index("text")] = text.alias("text")
+    if "n_chars" in docs.columns:
+        columns[docs.columns.index("n_chars")] = F.length(text).cast(docs.schema["n_chars"].dataType).alias("n_chars")
+    return rows.select(*columns)
 
 
 def normal_line(line: Column) -> Column:

@@ -245,6 +245,6 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """The documents that `near_duplicates` keeps, with all their columns."""
+    """One row of each group that `near_duplicates` finds, with all its columns."""
     kept = near_duplicates(docs).where("kept").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi")
+    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])

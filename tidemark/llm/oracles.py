@@ -9,7 +9,7 @@ from __future__ import annotations
 from tidemark.llm import line_dedup, near_dup, quality_rules, secrets
 
 _WS = r"[ \t\n\x0B\f\r]"
-_WORDS = rf"list_filter(regexp_split_to_array({{0}}, '{_WS}+'), x -> x <> '')"
+_WORDS = rf"list_filter(regexp_split_to_array({{0}}, '{_WS}+'), lambda x: x <> '')"
 _LINE = rf"trim(regexp_replace(lower(l), '{_WS}{{{{2,}}}}|[\t\n\x0B\f\r]', ' ', 'g'))".replace("{{", "{").replace("}}", "}")
 
 QUALITY = rf"""
