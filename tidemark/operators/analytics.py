@@ -274,9 +274,9 @@ def multi_time_query(table: EventTable, request: dict) -> DataFrame:
         low, high = min(w[0] for w in windows), max(w[1] for w in windows)
         whole = {**inner, "filters": [*rest, {"operator": "between", "field": TIME_ALIAS, "temporal": True, "from": low, "to": high}]}
         p = prepare(table, whole)
-        ms = F.unix_millis(table.at())
-        inside = F.filter(F.array(*(F.struct(F.lit(a).cast("long").alias("a"), F.lit(b).cast("long").alias("b")) for a, b in windows)), lambda w: ms.between(w["a"], w["b"]))
-        rows = table.with_rows(p.rows.withColumn("window_start", F.explode(inside)["a"]))
+        us = F.unix_micros(table.at())
+        inside = F.array_compact(F.array(*(F.when(us.between(1000 * a, 1000 * b), F.lit(a).cast("long")) for a, b in windows)))
+        rows = table.with_rows(p.rows.withColumn("window_start", F.explode(inside)))
         if inner["opcode"] == "count":
             path = inner.get("field")
             return rows.df.groupBy("window_start").agg((F.count(table.field(path)) if path else F.count("*")).alias("count"))

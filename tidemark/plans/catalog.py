@@ -30,8 +30,8 @@ def events(spark: SparkSession, sf_dir: str, zone: str = "UTC") -> EventTable:
 
 
 EV = "(select *, nullif(event_type, 'click') as kind, case when user_id % 7 <> 0 then value end as amount from events) e"
-PAST = f"epoch_ms(ts) < {NOW}"
-DAY_BOUND = f"epoch_ms(ts) between {NOW - DAY} and {NOW}"
+PAST = f"epoch_us(ts) < {NOW}000"
+DAY_BOUND = f"epoch_us(ts) between 1000 * ({NOW - DAY}) and 1000 * ({NOW})"
 
 
 def lineitems(spark: SparkSession, sf_dir: str) -> EventTable:
@@ -69,10 +69,10 @@ for _name, _filter, _where in [
     ("less_than", {"operator": "less_than", "field": "amount", "value": 50}, "amount < 50"),
     ("less_equal", {"operator": "less_equal", "field": "user_id", "value": 50}, "user_id <= 50"),
     ("between", {"operator": "between", "field": "amount", "from": 20, "to": 60}, "amount between 20 and 60"),
-    ("last", {"operator": "last", "duration": "36h", "currentTime": NOW - 5 * DAY, "roundingMode": "floor"}, f"epoch_ms(ts) between {NOW - 5 * DAY - 36 * 3600000} and {NOW - 5 * DAY}"),
+    ("last", {"operator": "last", "duration": "36h", "currentTime": NOW - 5 * DAY, "roundingMode": "floor"}, f"epoch_us(ts) between 1000 * ({NOW - 5 * DAY - 36 * 3600000}) and 1000 * ({NOW - 5 * DAY})"),
     ("contains", {"operator": "contains", "field": "kind", "value": "*ur?ha*"}, "kind like '%ur_ha%'"),
     ("wildcard", {"operator": "wildcard", "field": "kind", "value": "s"}, "kind like 's%'"),
-    ("time_between", {"operator": "between", "field": "_timestamp", "temporal": True, "from": NOW - 9 * DAY, "to": NOW - 7 * DAY}, f"epoch_ms(ts) between {NOW - 9 * DAY} and {NOW - 7 * DAY}"),
+    ("time_between", {"operator": "between", "field": "_timestamp", "temporal": True, "from": NOW - 9 * DAY, "to": NOW - 7 * DAY}, f"epoch_us(ts) between 1000 * ({NOW - 9 * DAY}) and 1000 * ({NOW - 7 * DAY})"),
 ]:
     # A whole result, not a page: the filter alone, in the order of nothing.
     register(
@@ -139,10 +139,10 @@ def _grid(period: str, value: str, where: str, keys: str = "", source: str = EV)
 
 
 _WEEK = [{"operator": "between", "field": "_timestamp", "temporal": True, "from": NOW - 9 * DAY, "to": NOW - 2 * DAY}]
-_WEEK_SQL = f"epoch_ms(ts) between {NOW - 9 * DAY} and {NOW - 2 * DAY}"
+_WEEK_SQL = f"epoch_us(ts) between 1000 * ({NOW - 9 * DAY}) and 1000 * ({NOW - 2 * DAY})"
 _HOUR = [{"operator": "between", "field": "_timestamp", "temporal": True, "from": NOW - 3 * DAY, "to": NOW - 3 * DAY + 7200000}]
-request("histogram_seconds", {"opcode": "histogram", "period": "seconds", "filters": _HOUR}, _grid("seconds", "count(*)", f"epoch_ms(ts) between {NOW - 3 * DAY} and {NOW - 3 * DAY + 7200000}"))
-request("histogram_minutes", {"opcode": "histogram", "period": "minutes", "now": NOW - 2 * DAY}, _grid("minutes", "count(*)", f"epoch_ms(ts) between {NOW - 3 * DAY} and {NOW - 2 * DAY}"))
+request("histogram_seconds", {"opcode": "histogram", "period": "seconds", "filters": _HOUR}, _grid("seconds", "count(*)", f"epoch_us(ts) between 1000 * ({NOW - 3 * DAY}) and 1000 * ({NOW - 3 * DAY + 7200000})"))
+request("histogram_minutes", {"opcode": "histogram", "period": "minutes", "now": NOW - 2 * DAY}, _grid("minutes", "count(*)", f"epoch_us(ts) between 1000 * ({NOW - 3 * DAY}) and 1000 * ({NOW - 2 * DAY})"))
 request("histogram_hours", {"opcode": "histogram", "period": "hours", "filters": _WEEK}, _grid("hours", "count(*)", _WEEK_SQL))
 request("histogram_days", {"opcode": "histogram", "period": "days", "filters": _WEEK}, _grid("days", "count(*)", _WEEK_SQL))
 request("histogram_unique", {"opcode": "histogram", "period": "hours", "uniqueCountOn": "user_id", "filters": _WEEK}, _grid("hours", "count(distinct user_id)", _WEEK_SQL))
@@ -178,11 +178,11 @@ def _multi(spark: SparkSession, sf_dir: str) -> DataFrame:
 register("multi_query", _multi, f"""with e as (select * from {EV} where kind = 'view' and {PAST}) select 'all' as name, count(*) as "count" from e union all select 'users', count(distinct user_id) from e union all select 'kinds', count(*) from e group by kind""")
 _TIMES = {"opcode": "multi_time_query", "skipDuration": "1d", "sampleSize": 5, "actionRequest": {"opcode": "group", "nesting": ["kind"], "filters": _HOUR}}
 _TIMES_SQL = f"(select {NOW - 3 * DAY} - k * {DAY} as a, {NOW - 3 * DAY + 7200000} - k * {DAY} as b from range(5) r(k)) w"
-register("multi_time_query", lambda s, d: A.multi_time_query(events(s, d), {**_TIMES, "now": NOW}), f'select a as window_start, kind, count(*) as "count" from {EV} join {_TIMES_SQL} on epoch_ms(ts) between a and b where kind is not null group by 1, 2')
-register("multi_time_stats", lambda s, d: rounded(A.multi_time_query(events(s, d), {**_TIMES, "now": NOW, "actionRequest": {"opcode": "stats", "field": "amount", "stats": ["avg"], "flags": ["STATS_SKIP_PERCENTILES"], "filters": _HOUR}})), f'select a as window_start, round(avg(amount), 4) as "avg" from {_TIMES_SQL} left join {EV} on epoch_ms(ts) between a and b group by 1')
+register("multi_time_query", lambda s, d: A.multi_time_query(events(s, d), {**_TIMES, "now": NOW}), f'select a as window_start, kind, count(*) as "count" from {EV} join {_TIMES_SQL} on epoch_us(ts) between 1000 * a and 1000 * b where kind is not null group by 1, 2')
+register("multi_time_stats", lambda s, d: rounded(A.multi_time_query(events(s, d), {**_TIMES, "now": NOW, "actionRequest": {"opcode": "stats", "field": "amount", "stats": ["avg"], "flags": ["STATS_SKIP_PERCENTILES"], "filters": _HOUR}})), f'select a as window_start, round(avg(amount), 4) as "avg" from {_TIMES_SQL} left join {EV} on epoch_us(ts) between 1000 * a and 1000 * b group by 1')
 register("ratio_trend", lambda s, d: rounded(A.ratio(prepare(events(s, d), {"opcode": "trend", "now": NOW, "field": "kind", "period": "days", "filters": _WEEK}), "error", "view")), f"select epoch_ms(date_trunc('day', ts)) as period, round(coalesce(count(*) filter (kind = 'error') * 100.0 / nullif(count(*) filter (kind = 'view'), 0), 0), 4) as ratio from {EV} where kind is not null and {_WEEK_SQL} group by 1")
 register("percentage_gauge", lambda s, d: rounded(A.gauge(prepare(events(s, d), {"opcode": "count", "now": NOW}), "kind", ["error"], ["view", "error"])), f"select round(count(*) filter (kind = 'error') * 100.0 / count(*) filter (kind in ('view', 'error')), 4) as percentage from {EV} where {PAST}")
-register("period_over_period", lambda s, d: A.period_over_period(events(s, d), {"opcode": "histogram", "now": NOW - DAY, "period": "hours"}, "1d", 3).withColumn("series", F.col("series").cast("long")), " union all ".join(f"select *, cast({k} as bigint) as series from ({_grid('hours', 'count(*)', f'epoch_ms(ts) between {NOW - DAY - k * DAY - DAY} and {NOW - DAY - k * DAY}')})" for k in range(3)))
+register("period_over_period", lambda s, d: A.period_over_period(events(s, d), {"opcode": "histogram", "now": NOW - DAY, "period": "hours"}, "1d", 3).withColumn("series", F.col("series").cast("long")), " union all ".join(f"select *, cast({k} as bigint) as series from ({_grid('hours', 'count(*)', f'epoch_us(ts) between 1000 * ({NOW - DAY - k * DAY - DAY}) and 1000 * ({NOW - DAY - k * DAY})')})" for k in range(3)))
 
 _DECILES = ", ".join(f"quantile_cont({{c}}, {k / 10})" for k in range(1, 11))
 register("field_stats_cardinality", lambda s, d: guard.field_statistics(events(s, d), ["kind", "user_id", "amount"]).select("field", "count", "cardinality"), f"""select 'kind' as field, count(kind) as "count", count(distinct kind) as cardinality from {EV} union all select 'user_id', count(user_id), count(distinct user_id) from {EV} union all select 'amount', count(amount), count(distinct amount) from {EV}""")
@@ -191,7 +191,7 @@ register("term_histogram", lambda s, d: guard.term_histogram(events(s, d), "kind
 register("describe_table", lambda s, d: s.createDataFrame(store.fields(events(s, d)), "field string, type string"), "select * from (values ('amount', 'DOUBLE'), ('event_id', 'LONG'), ('event_type', 'STRING'), ('kind', 'STRING'), ('props', 'STRING'), ('ts', 'DATE'), ('user_id', 'LONG'), ('value', 'DOUBLE')) t(field, type)")
 
 _CUT = NOW - 12 * DAY
-register("ingest_future_drop", lambda s, d: store.accepted(s.read.parquet(f"{d}/events.parquet"), _CUT, "event_id").select("event_id"), f"select event_id from events where epoch_ms(ts) <= {_CUT + DAY}")
+register("ingest_future_drop", lambda s, d: store.accepted(s.read.parquet(f"{d}/events.parquet"), _CUT, "event_id").select("event_id"), f"select event_id from events where epoch_us(ts) <= {_CUT + DAY}000")
 register("ingest_rejects", lambda s, d: store.rejected(events(s, d).df.withColumn("id", F.when(F.col("user_id") % 10 != 0, F.col("event_id"))), data=["kind"]).select("event_id", "reason"), f"select event_id, case when user_id % 10 = 0 then 'id is missing' else 'data is missing' end as reason from {EV} where user_id % 10 = 0 or kind is null")
 register("upsert_latest", lambda s, d: store.latest(s.read.parquet(f"{d}/events.parquet"), "user_id", ("ts", "event_id")).select("user_id", "event_id", "event_type"), "select user_id, event_id, event_type from events qualify row_number() over (partition by user_id order by ts desc, event_id desc) = 1")
 
@@ -205,7 +205,7 @@ def _upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
 register("upsert_by_id", _upsert, "select event_id, case when user_id % 2 = 0 then 'changed' else event_type end as event_type from events")
 register("route_by_type", lambda s, d: store.routed(s.read.parquet(f"{d}/events.parquet"), "events", {"error": "errors", "purchase": "sales"}).groupBy("table").agg(F.count("*").alias("count")), "select 'events' as \"table\", count(*) as \"count\" from events union all select 'errors', count(*) from events where event_type = 'error' union all select 'sales', count(*) from events where event_type = 'purchase'")
 register("ttl_retained", lambda s, d: store.retained(EventTable(s.read.parquet(f"{d}/events.parquet"), ttl_days=7), NOW).select("event_id"), f"select event_id from events where cast(ts as date) >= cast(epoch_ms({NOW - 7 * DAY}) as date)")
-register("raw_keys", lambda s, d: s.read.parquet(f"{d}/events.parquet").select("event_id", F.substring(store.raw_key("events", F.col("event_id"), F.col("ts")), 4, 1000).alias("key")), "select event_id, 'events:' || lpad(cast(epoch_ms(ts) as varchar), 20, '0') || ':' || cast(event_id as varchar) as key from events")
+register("raw_keys", lambda s, d: s.read.parquet(f"{d}/events.parquet").select("event_id", F.substring(store.raw_key("events", F.col("event_id"), F.col("ts")), 4, 1000).alias("key")), "select event_id, 'events:' || lpad(cast(epoch_us(ts) // 1000 as varchar), 20, '0') || ':' || cast(event_id as varchar) as key from events")
 register("text_remover", lambda s, d: store.without_large_text(s.read.parquet(f"{d}/documents.parquet"), 1024).select("doc_id", "text"), "select doc_id, case when length(text) < 1024 then text end as text from documents")
 register("get_by_ids", lambda s, d: store.by_id(events(s, d), [1, 5, 77, 99999999]).select("event_id", "event_type"), "select event_id, event_type from events where event_id in (1, 5, 77, 99999999)")
 register("missing_ids", lambda s, d: store.missing_ids(events(s, d), s.range(0, 200000, 500).select(F.col("id").alias("event_id"))), "select range as event_id from range(0, 200000, 500) where range not in (select event_id from events)")
