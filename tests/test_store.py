@@ -66,7 +66,7 @@ def test_guard(spark):
     guard.check(table, {"opcode": "group", "nesting": ["os"], "filters": day, "now": NOW}, stats)
     with pytest.raises(guard.TooManyGroups):
         guard.check(table, {"opcode": "group", "nesting": ["os", "device"], "filters": day, "now": NOW}, stats, most=1000)
-    guard.check(table, {"opcode": "group", "nesting": ["os", "device"], "filters": [*day, {"operator": "less_than", "field": "value", "value": 3}], "now": NOW}, stats, most=1000)
+    guard.check(table, {"opcode": "group", "nesting": ["os", "device"], "filters": [*day, {"operator": "less_than", "field": "value", "value": 15}], "now": NOW}, stats, most=1000)
     terms = FieldStats("terms", 100, 2, (), {"a": 75, "b": 25})
     assert guard.share(Filter("equals", "x", "b"), terms) == 0.25 and guard.share(Filter("not_in", "x", values=("a",)), terms) == 0.25
     ten = FieldStats("percentile", 100, 100, tuple(range(10, 101, 10)))
@@ -75,8 +75,8 @@ def test_guard(spark):
 
 def test_csv(spark, tmp_path):
     write_csv(spark.createDataFrame([('a"b', None, (1,))], "x string, y string, z struct<k: int>"), str(tmp_path / "c"))
-    text = "".join(p.read_text() for p in (tmp_path / "c").glob("*.csv"))
-    assert text == "x,y,z.k\nab,,1\n"
+    lines = {line for p in (tmp_path / "c").glob("*.csv") for line in p.read_text().splitlines()}  # each file has the header
+    assert lines == {"x,y,z.k", "ab,,1"}
 
 
 def test_streams(spark, some, tmp_path):
@@ -87,7 +87,7 @@ def test_streams(spark, some, tmp_path):
     ingest_stream(live, out, str(tmp_path / "check")).awaitTermination()
     assert spark.read.parquet(out).count() == 41
     table = EventTable(live, id="id")
-    q = live_trend(EventTable(accepted_stream(table, "10 days"), id="id"), ["kind"], "days", "10 days").writeStream.format("memory").queryName("trend").outputMode("append").trigger(availableNow=True).start()
+    q = live_trend(EventTable(accepted_stream(table, "10 days"), id="id"), ["kind"], "days", None).writeStream.format("memory").queryName("trend").outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination()
     json_events(spark, source, "id long")
     assert spark.table("trend").columns == ["period", "kind", "count"]

@@ -23,9 +23,12 @@ def accepted_stream(table: EventTable, late: str = "1 hour", filters: Sequence[F
     return rows.withWatermark(table.ts, late).dropDuplicatesWithinWatermark([table.id])
 
 
-def live_trend(table: EventTable, nesting: Sequence[str] = (), period: str = "minutes", late: str = "1 hour", field: str | None = None) -> DataFrame:
-    """Counts (or statistics of `field`) of each bucket and group. A bucket is final when the watermark passes it."""
-    rows = table.df.withColumn(table.ts, F.col(table.ts).cast("timestamp")).withWatermark(table.ts, late)
+def live_trend(table: EventTable, nesting: Sequence[str] = (), period: str = "minutes", late: str | None = "1 hour", field: str | None = None) -> DataFrame:
+    """Counts (or statistics of `field`) of each bucket and group. A bucket is final when the watermark passes it.
+
+    `late` is None for a stream that has its watermark already, such as `accepted_stream` gives.
+    """
+    rows = table.df.withColumn(table.ts, F.col(table.ts).cast("timestamp")).withWatermark(table.ts, late) if late else table.df
     keys = [table.field(x).cast("string").alias(x.replace(".", "_")) for x in nesting]
     measures = metrics.stats(table.field(field), ["count", "sum"]) if field else [F.count("*").alias("count")]
     out = rows.groupBy(F.window(table.ts, WIDTHS[period]), *keys).agg(*measures)
