@@ -80,15 +80,33 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
+_ONE, _TWO = np.triu_indices(HALVES, 1)
+_SALT = textvec.mix(np.arange(len(_ONE), dtype=np.uint64) + np.uint64(99))
+_TABLE = np.zeros((HALVES, HALVES), np.int64)
+_TABLE[_ONE, _TWO] = np.arange(len(_ONE))
+
+
+def _key(first: np.ndarray, second: np.ndarray, salt: np.ndarray) -> np.ndarray:
+    return textvec.mix(first * np.uint64(0xD6E8FEB86659FD93) + second + salt)
+
+
+def _first_shared(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The first key that two rows share, from their sketches; rows share a key if two sketches agree."""
+    same = x == y
+    i = same.argmax(axis=1)
+    row = np.arange(len(x))
+    same[row, i] = False
+    j = same.argmax(axis=1)
+    return _key(x[row, i], x[row, j], _SALT[_TABLE[i, j]])
+
+
 def _table_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    one, two = np.triu_indices(HALVES, 1)
-    salt = textvec.mix(np.arange(len(one), dtype=np.uint64) + np.uint64(99))
     for batch in batches:
         for row in range(0, batch.num_rows, 2000):
             part = batch.slice(row, 2000)
             halves = np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint64).reshape(-1, HALVES)
-            keys = textvec.mix(halves[:, one] * np.uint64(0xD6E8FEB86659FD93) + halves[:, two] + salt)
-            ids = np.repeat(part.column(0).to_numpy(zero_copy_only=False), len(one))
+            keys = _key(halves[:, _ONE], halves[:, _TWO], _SALT)
+            ids = np.repeat(part.column(0).to_numpy(zero_copy_only=False), len(_ONE))
             yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(ids, pa.int64())], names=["key", "doc_id"])
 
 
@@ -133,7 +151,7 @@ def _likely(x: np.ndarray, y: np.ndarray, total: np.ndarray) -> np.ndarray:
 
 
 def _rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of one key and different components that may be similar.
+    """Pairs of one key and different components that may be similar, each from the first key it shares.
 
     Rows come sorted by key. A key's members are compared in blocks of 512, so a
     long key costs time but a fixed amount of memory above its own rows.
@@ -146,6 +164,7 @@ def _rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         edges = np.flatnonzero(np.diff(key)) + 1
         ids, parts, sizes = (rows.column(c).to_numpy() for c in ("doc_id", "component", "n_shingles"))
         marks = np.frombuffer(b"".join(rows.column("bins").to_pylist()), np.uint8).reshape(len(key), -1)
+        halves = np.frombuffer(b"".join(rows.column("halves").to_pylist()), np.uint64).reshape(len(key), -1)
         left, right = [], []
         for a, b in zip([0, *edges], [*edges, len(key)], strict=True):
             for i in range(a, b, 512):
@@ -160,7 +179,7 @@ def _rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     p, q = p[good], q[good]
                     for k in range(0, len(p), 2048):
                         u, v = p[k : k + 2048], q[k : k + 2048]
-                        close = _likely(marks[u], marks[v], sizes[u] + sizes[v])
+                        close = _likely(marks[u], marks[v], sizes[u] + sizes[v]) & (_first_shared(halves[u], halves[v]) == key[u].view(np.uint64))
                         left.append(ids[u][close])
                         right.append(ids[v][close])
         if left:
@@ -232,8 +251,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     first = stored(components(links))
     placed = found.join(first, "doc_id", "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("component"))
     open_keys = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("key")
-    rest = placed.join(open_keys, "key", "left_semi").join(distinct.select("doc_id", "n_shingles", "bins"), "doc_id")
-    pairs = rest.select("key", "doc_id", "component", "n_shingles", "bins").repartition(n, "key").sortWithinPartitions("key").mapInArrow(_rest, "a long, b long").distinct()
+    rest = placed.join(open_keys, "key", "left_semi").join(distinct.select("doc_id", "n_shingles", "bins", "halves"), "doc_id")
+    pairs = rest.select("key", "doc_id", "component", "n_shingles", "bins", "halves").repartition(n, "key").sortWithinPartitions("key").mapInArrow(_rest, "a long, b long").distinct()
     more = _confirmed(pairs, sets)
     groups = components(links.union(more))
     placed = distinct.join(groups, "doc_id", "left").select("set_low", "set_high", F.coalesce("component", "doc_id").alias("component_id"))
