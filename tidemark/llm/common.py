@@ -1,4 +1,9 @@
-"""What several operators share: sources, checkpoints, keys."""
+"""What several operators share: sources, checkpoints, keys.
+
+A note on arrays that are costly to make: the operators unfold them with explode_outer and
+drop the nulls above. A plain explode makes Spark infer a filter on the array's size below
+the projection, which computes the array twice, and nested arrays many times.
+"""
 
 from __future__ import annotations
 
