@@ -101,7 +101,7 @@ def scan(versions: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule
         blobs = blobs.dropDuplicates(["blob"]).withColumn("seen", F.lit(None).cast("array<string>"))
     due = {r.kind: ~F.coalesce(F.array_contains("seen", f"{r.kind}/{r.version}"), F.lit(False)) for r in rules}
     done = F.array(*(F.when(due[k], F.struct(F.lit(k).alias("kind"), F.lit(r.version).alias("version"), F.coalesce(spans(F.col("text"), r), F.array().cast("array<struct<kind: string, start: int, end: int>>")).alias("found"))) for k, r in kinds.items()))
-    return blobs.select("blob", F.explode(F.filter(done, lambda x: x.isNotNull())).alias("r")).select("blob", "r.kind", "r.version", "r.found")
+    return blobs.select("blob", F.explode_outer(F.filter(done, lambda x: x.isNotNull())).alias("r")).where("r is not null").select("blob", "r.kind", "r.version", "r.found")
 
 
 def findings(versions: DataFrame, scanned: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
