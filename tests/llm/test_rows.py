@@ -63,6 +63,20 @@ def test_plan_is_close_to_the_bound():
         assert sequences <= len(room) + 1
 
 
+def test_the_program_covers_every_length():
+    rng = np.random.default_rng(4)
+    for lengths in (rng.integers(1, 1024, 5000), np.minimum(1023, rng.lognormal(5, 1, 3000).astype(int) + 1)):
+        histogram = Counter(lengths.tolist())
+        sizes = np.array(sorted(histogram))
+        demand = np.array([histogram[int(x)] for x in sizes], dtype=float)
+        patterns, amounts, *bound = packing.solve(sizes, demand, 1024, 60)
+        assert np.allclose(amounts @ patterns, demand) and (patterns @ sizes <= 1024).all()
+        assert amounts.sum() <= 1.02 * bound[0]
+        report = {}
+        _, sequences = packing.plan(histogram, rounds=60, report=report)
+        assert report["by_program"] >= 0.75 * report["pieces"] and sequences <= 1.02 * bound[0] + 1
+
+
 def test_heaviest_pattern_is_the_best():
     lengths = np.array([3, 5, 7])
     got = packing.heaviest_pattern(np.array([3.1, 5.5, 7.0]), lengths, 10)

@@ -4,9 +4,10 @@ The lengths of all pieces form a histogram of at most `capacity` entries, howeve
 many documents there are. Over it the driver solves the configuration program
 "cover every length with as few patterns as possible", where a pattern is a
 multiset of lengths that fits one sequence: multiplicative weights on the lengths,
-and in each round the pattern of greatest weight by a knapsack dynamic program.
-The fractional solution is rounded down, the program is solved again for what is
-left, and the last few pieces go to the fullest sequence that they fit.
+and in each round the patterns of greatest weight by a knapsack dynamic program,
+until every length is covered in full. The fractional solution is rounded, the
+program is solved again for what is left, and the pieces that no whole pattern
+takes then go to the fullest sequence that they fit (README has their share).
 
 The result is a plan of ranges: "the pieces of length L with ranks r to r + m go
 to sequences s to s + m at offset o". Its size depends on `capacity`, never on the
@@ -38,6 +39,13 @@ CAPACITY = 1024
 END_ID = 2
 #: Groups in which the pieces of one length are counted.
 SALTS = 256
+#: Start weights grow faster than lengths, as long pieces are harder to place late.
+FAVOUR = 2.0
+#: One pricing gives patterns of almost the greatest weight, PER_PRICING at most; the next prices anew.
+NEAR_BEST = 0.02
+PER_PRICING = 64
+#: A pattern that is taken once more in rounding fills so much of a sequence; others wait for the next pass or the fill.
+FULL = 0.995
 #: Fixed value: how byte-level files of this kind split a text before merging.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -101,19 +109,25 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACI
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(cut, PIECES + (", ids array<long>" if with_ids else ""))
 
 
-def heaviest_pattern(weights: np.ndarray, lengths: np.ndarray, capacity: int) -> np.ndarray:
-    """The multiset of lengths of the greatest total weight that fits `capacity`, as a count a length."""
+def _priced(weights: np.ndarray, lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """The knapsack table: for every room the greatest weight that fits, and the length taken last (-2: none, one room less)."""
     best = np.zeros(capacity + 1)
     took = np.full(capacity + 1, -1)
+    fitting = np.searchsorted(lengths, np.arange(capacity + 1), side="right")
     for room in range(int(lengths[0]), capacity + 1):
-        fits = int(np.searchsorted(lengths, room, side="right"))
+        fits = fitting[room]
         value = best[room - lengths[:fits]] + weights[:fits]
         k = int(value.argmax())
         if value[k] > best[room - 1]:
             best[room], took[room] = value[k], k
         else:
             best[room], took[room] = best[room - 1], -2
-    counts, room = np.zeros(len(lengths), dtype=np.int64), capacity
+    return best, took
+
+
+def _traced(took: np.ndarray, lengths: np.ndarray, room: int) -> np.ndarray:
+    """The counts a length that the knapsack table holds for `room`."""
+    counts = np.zeros(len(lengths), dtype=np.int64)
     while room > 0 and took[room] != -1:
         if took[room] == -2:
             room -= 1
@@ -123,35 +137,58 @@ def heaviest_pattern(weights: np.ndarray, lengths: np.ndarray, capacity: int) ->
     return counts
 
 
-def solve(lengths: np.ndarray, demand: np.ndarray, capacity: int, rounds: int, step: float = 0.15) -> tuple[np.ndarray, np.ndarray]:
-    """(patterns, amounts): a fractional cover of `demand` by patterns, by multiplicative weights.
+def heaviest_pattern(weights: np.ndarray, lengths: np.ndarray, capacity: int) -> np.ndarray:
+    """The multiset of lengths of the greatest total weight that fits `capacity`, as a count a length."""
+    _, took = _priced(weights, lengths, capacity)
+    return _traced(took, lengths, capacity)
 
-    Each round prices the lengths by their weights, takes the heaviest pattern for
-    as long as its scarcest length allows, and lowers the weights of what it covers.
-    """
-    weights = lengths / capacity  # a start near the dual optimum: a length costs its share of a sequence
-    covered = np.zeros(len(lengths))
-    chosen: dict[bytes, float] = {}
-    for _ in range(rounds):
-        pattern = heaviest_pattern(weights, lengths, capacity)
-        used = pattern > 0
-        amount = float((demand[used] / pattern[used]).min()) * step
-        chosen[pattern.tobytes()] = chosen.get(pattern.tobytes(), 0.0) + amount
-        covered += pattern * amount
-        weights = weights * np.exp(-pattern * amount / demand)
-        weights /= (weights / (lengths / capacity)).max()
-        if (covered >= demand).all():
-            break
-    patterns = np.array([np.frombuffer(x, np.int64) for x in chosen])
-    amounts = np.array(list(chosen.values()))
-    return patterns, amounts
 
+def solve(lengths: np.ndarray, demand: np.ndarray, capacity: int, rounds: int, step: float = 0.5) -> tuple[np.ndarray, np.ndarray, float]:
+    """(patterns, amounts, bound): a fractional cover of all of `demand` by patterns, by multiplicative weights, and
+    a lower bound of any cover, from the best dual weights seen.
 
-def plan(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = 150, passes: int = 4) -> tuple[list[tuple[int, int, int, int, int]], int]:
+    Each round prices the open lengths by their weights and takes the patterns within `NEAR_BEST` of the heaviest,
+    each until it covers `step` of its scarcest length or closes a length, and lowers the weights of what it covers.
+    After `rounds` rounds every pattern closes a length, so at most as many rounds follow as there are lengths; the
+    program ends when all are closed.
+    """
+    start = (lengths / capacity) ** FAVOUR
+    weights = start.copy()
+    left = demand.astype(float)
+    bound = float(demand @ lengths) / capacity
+    chosen: dict[bytes, float] = {}
+    done = 0
+    while len(open_ := np.flatnonzero(left > 1e-9 * demand)):
+        best, took = _priced(weights[open_], lengths[open_], capacity)
+        top = float(best[capacity])
+        bound = max(bound, float(demand[open_] @ weights[open_]) / top)
+        done += 1
+        value = weights[open_] + best[capacity - lengths[open_]]
+        for k in np.argsort(-value, kind="stable")[:PER_PRICING]:
+            if value[k] < (1 - NEAR_BEST) * top:
+                break
+            own = _traced(took, lengths[open_], capacity - int(lengths[open_[k]]))
+            own[k] += 1
+            at, counts = open_[own > 0], own[own > 0]
+            # The first is always taken; the weights of others may have dropped since they were priced.
+            if k != int(value.argmax()) and float(weights[at] @ counts) < (1 - NEAR_BEST) * top or (left[at] <= 1e-9 * demand[at]).any():
+                continue
+            amount = min(float((left[at] / counts).min()), (step if done <= rounds else 1.0) * float((demand[at] / counts).min()))
+            pattern = np.zeros(len(lengths), dtype=np.int64)
+            pattern[at] = counts
+            chosen[pattern.tobytes()] = chosen.get(pattern.tobytes(), 0.0) + amount
+            left[at] -= counts * amount
+            weights[at] *= np.exp(-counts * amount / (2 * demand[at]))
+    return np.array([np.frombuffer(x, np.int64) for x in chosen]), np.array(list(chosen.values())), bound
+
+
+def plan(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = 150, passes: int = 4, report: dict | None = None) -> tuple[list[tuple[int, int, int, int, int]], int]:
     """(ranges, sequences): ranges of (length, first rank, count, first sequence, offset).
 
-    Every pass rounds the fractional cover down, with each pattern used no more
-    often than what is left allows, and solves again for the rest.
+    Every pass rounds the fractional cover down, then takes its patterns once more in the order of what rounding
+    cut off, each no more often than what is left allows, and solves again for the rest. After `passes` passes it
+    goes on as long as a pass places at least a tenth of what is left. `report` gets the pieces placed by the
+    program and by the fill, the sequences, the cover's amount and its lower bound.
     """
     lengths = np.array(sorted(histogram), dtype=np.int64)
     left = np.array([histogram[int(x)] for x in lengths], dtype=np.int64)
@@ -174,19 +211,31 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = 150,
         only = np.zeros(len(lengths), dtype=np.int64)
         only[-1] = 1
         use(only, int(left[-1]))
-    for _ in range(passes):
-        some = np.flatnonzero(left)
-        if not len(some) or left.sum() <= 64:
-            break
-        patterns, amounts = solve(lengths[some], left[some].astype(float), capacity, rounds)
-        scale = min(1.0, float(left[some] @ lengths[some]) / capacity / max(amounts.sum(), 1e-9))
+    full, pieces_left, done = sequences, int(left.sum()), 0
+    cover = bound = 0.0
+    while left.sum():
+        some, before = np.flatnonzero(left), int(left.sum())
+        patterns, amounts, least = solve(lengths[some], left[some].astype(float), capacity, rounds)
+        if not done:
+            cover, bound = float(amounts.sum()), least
+        done += 1
+        whole = np.zeros((len(patterns), len(lengths)), dtype=np.int64)
+        whole[:, some] = patterns
+
+        def allowed(pattern: np.ndarray) -> int:
+            used = pattern > 0
+            return int((left[used] // pattern[used]).min())
+
         for k in np.argsort(-(patterns @ lengths[some]), kind="stable"):
-            whole = np.zeros(len(lengths), dtype=np.int64)
-            whole[some] = patterns[k]
-            used = whole > 0
-            times = min(int(np.floor(amounts[k] * max(scale, 0.9))), int((left[used] // whole[used]).min()))
+            times = min(int(np.floor(amounts[k] + 1e-6)), allowed(whole[k]))
             if times > 0:
-                use(whole, times)
+                use(whole[k], times)
+        for k in np.lexsort((-(amounts % 1), -(patterns @ lengths[some]))):
+            if patterns[k] @ lengths[some] >= FULL * capacity and allowed(whole[k]):
+                use(whole[k], 1)
+        if before == left.sum() or done >= passes and 10 * (before - left.sum()) < before:
+            break
+    rest = int(left.sum())
     # The rest: each time the pattern that fills a sequence best with pieces that are left.
     while left.sum():
         pattern, room = np.zeros(len(lengths), dtype=np.int64), capacity
@@ -197,6 +246,8 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = 150,
                 room -= fit * int(lengths[k])
         used = pattern > 0
         use(pattern, int((left[used] // pattern[used]).min()))
+    if report is not None:
+        report.update(pieces=pieces_left, by_program=pieces_left - rest, by_fill=rest, sequences=sequences, full=full, cover=cover, bound=bound, passes=done)
     return ranges, sequences
 
 
