@@ -87,6 +87,40 @@ def test_sketches_allow_what_is_at_the_threshold():
                 assert near_dup._likely(marks[:1], marks[1:], np.array([2 * size]))[0]
 
 
+@pytest.mark.parametrize("percent", [80, 85])
+def test_sketches_allow_sets_at_the_threshold(percent):
+    rng = np.random.default_rng(3)
+    for union in (60, 400, 5000):
+        both = -(-percent * union // 100)
+        for _ in range(20):
+            values = rng.integers(0, 2**64, union, dtype=np.uint64)
+            only = (union - both) // 2
+            marks = np.zeros((2, near_dup.BINS), np.uint8)
+            for k, own in enumerate((values[: union - only], np.concatenate([values[:both], values[union - only :]]))):
+                own = np.sort(own)
+                part, first = np.unique((own >> np.uint64(55)).astype(int), return_index=True)
+                marks[k, part] = own[first] % np.uint64(255) + np.uint64(1)
+            assert near_dup._likely(marks[:1], marks[1:], np.array([union + both]), percent)[0]
+
+
+def test_the_stage_links_from_80_percent(spark, docs_of):
+    import corpus_pipeline
+
+    rng = random.Random(8)
+    rows = []
+    for k in range(30):
+        words = prose(rng, 104).split(" ")  # 100 shingles; two changes leave 90 of a union of 110
+        changed = list(words)
+        changed[30], changed[60] = f"e{k}", f"f{k}"
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(changed))]
+    for k in range(0, 60, 2):
+        a, b = shingles(rows[k][1]), shingles(rows[k + 1][1])
+        assert 0.80 <= len(a & b) / len(a | b) < 0.85
+    df = docs_of(rows)
+    assert near_dup.deduplicated(df).count() == 60
+    assert {r.doc_id for r in corpus_pipeline.near_duplicates(spark, df, "").collect()} == set(range(0, 60, 2))
+
+
 def test_components_of_long_chains(spark):
     links = spark.createDataFrame([(k, k + 1) for k in range(60)] + [(100, 99), (7, 7)], "a long, b long")
     got = {r.doc_id: r.component for r in near_dup.components(links).collect()}

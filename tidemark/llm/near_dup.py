@@ -24,7 +24,7 @@ other than doc_id and text are ignored. An empty table gives an empty result.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -36,14 +36,26 @@ from tidemark.llm.common import partitions_for, stored
 
 SHINGLE = 5
 PERCENT = 85
-HALVES = 14
-ROWS = 5
-_SEEDS = np.random.default_rng(7).integers(1, 2**63, (HALVES * ROWS, 2), dtype=np.uint64) | np.uint64(1)
+#: A pair at the threshold shares a table with this probability at least, by sketches of up to ROWS minhashes, HALVES at most.
+RECALL = 0.9965
+ROWS, HALVES = 5, 16
 #: A one-permutation sketch: the hash space in BINS parts, of each the smallest shingle as one byte (0: none).
 BINS = 512
 
 
-def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def shape(percent: int) -> tuple[int, int]:
+    """(halves, rows) for a threshold: the longest sketches of which few enough reach RECALL at it."""
+    for rows in range(ROWS, 0, -1):
+        p = (percent / 100) ** rows
+        for halves in range(2, HALVES + 1):
+            if 1 - (1 - p) ** halves - halves * p * (1 - p) ** (halves - 1) >= RECALL:
+                return halves, rows
+    raise ValueError(f"no sketches for {percent} %")
+
+
+def _sketch(batches: Iterator[pa.RecordBatch], size: tuple[int, int]) -> Iterator[pa.RecordBatch]:
+    count, rows = size
+    seeds = np.random.default_rng(7).integers(1, 2**63, (count * rows, 2), dtype=np.uint64) | np.uint64(1)
     for batch in batches:
         for part, data, at in textvec.slices(batch, "text"):
             values, first = textvec.shingle_sets(data, at, SHINGLE)
@@ -51,11 +63,11 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             full = np.flatnonzero(sizes)
             n = part.num_rows
             low, high = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
-            hashes = np.zeros((n, HALVES * ROWS), np.uint64)
+            hashes = np.zeros((n, count * rows), np.uint64)
             if len(full):
                 low[full] = np.add.reduceat(values, first[full])
                 high[full] = np.add.reduceat(textvec.mix(values ^ np.uint64(0x5851F42D4C957F2D)), first[full])
-                for k, (a, b) in enumerate(_SEEDS):
+                for k, (a, b) in enumerate(seeds):
                     hashes[full, k] = np.minimum.reduceat(values * a + b, first[full])
             # Values come ascending in each row, so the first in a part of the hash space is its smallest.
             bins = np.zeros((n, BINS), np.uint8)
@@ -64,9 +76,9 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             lead[1:] = (part_of[1:] != part_of[:-1]) | (owner[1:] != owner[:-1])
             bins[owner[lead], part_of[lead]] = values[lead] % np.uint64(255) + np.uint64(1)
             mixed = textvec.mix(hashes)
-            halves = np.zeros((n, HALVES), np.uint64)
-            for k in range(ROWS):
-                halves = halves * np.uint64(0xD6E8FEB86659FD93) + mixed[:, k::ROWS]
+            halves = np.zeros((n, count), np.uint64)
+            for k in range(rows):
+                halves = halves * np.uint64(0xD6E8FEB86659FD93) + mixed[:, k::rows]
             yield pa.RecordBatch.from_arrays(
                 [
                     part.column(part.schema.get_field_index("doc_id")),
@@ -80,10 +92,10 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-_ONE, _TWO = np.triu_indices(HALVES, 1)
-_SALT = textvec.mix(np.arange(len(_ONE), dtype=np.uint64) + np.uint64(99))
-_TABLE = np.zeros((HALVES, HALVES), np.int64)
-_TABLE[_ONE, _TWO] = np.arange(len(_ONE))
+def _tables(halves: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The two sketches and the salt of each table."""
+    one, two = np.triu_indices(halves, 1)
+    return one, two, textvec.mix(np.arange(len(one), dtype=np.uint64) + np.uint64(99))
 
 
 def _key(first: np.ndarray, second: np.ndarray, salt: np.ndarray) -> np.ndarray:
@@ -92,21 +104,25 @@ def _key(first: np.ndarray, second: np.ndarray, salt: np.ndarray) -> np.ndarray:
 
 def _first_shared(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """The first key that two rows share, from their sketches; rows share a key if two sketches agree."""
+    one, two, salt = _tables(x.shape[1])
+    table = np.zeros((x.shape[1], x.shape[1]), np.int64)
+    table[one, two] = np.arange(len(one))
     same = x == y
     i = same.argmax(axis=1)
     row = np.arange(len(x))
     same[row, i] = False
     j = same.argmax(axis=1)
-    return _key(x[row, i], x[row, j], _SALT[_TABLE[i, j]])
+    return _key(x[row, i], x[row, j], salt[table[i, j]])
 
 
-def _table_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _table_keys(batches: Iterator[pa.RecordBatch], count: int) -> Iterator[pa.RecordBatch]:
+    one, two, salt = _tables(count)
     for batch in batches:
         for row in range(0, batch.num_rows, 2000):
             part = batch.slice(row, 2000)
-            halves = np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint64).reshape(-1, HALVES)
-            keys = _key(halves[:, _ONE], halves[:, _TWO], _SALT)
-            ids = np.repeat(part.column(0).to_numpy(zero_copy_only=False), len(_ONE))
+            halves = np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint64).reshape(-1, count)
+            keys = _key(halves[:, one], halves[:, two], salt)
+            ids = np.repeat(part.column(0).to_numpy(zero_copy_only=False), len(one))
             yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(ids, pa.int64())], names=["key", "doc_id"])
 
 
@@ -121,7 +137,7 @@ def _set_column(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _confirm(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     """Keep pairs whose full sets are similar enough."""
     for batch in batches:
         one, two = batch.column(2).to_pylist(), batch.column(3).to_pylist()
@@ -129,28 +145,28 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for i, (x, y) in enumerate(zip(one, two, strict=True)):
             a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
             small, large = (a, b) if len(a) <= len(b) else (b, a)
-            if 100 * len(small) < PERCENT * len(large):
+            if 100 * len(small) < percent * len(large):
                 continue
             at = np.searchsorted(large, small)
             both = int((large[np.minimum(at, len(large) - 1)] == small).sum())
-            keep[i] = 100 * both >= PERCENT * (len(a) + len(b) - both)
+            keep[i] = 100 * both >= percent * (len(a) + len(b) - both)
         yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep)), batch.column(1).filter(pa.array(keep))], names=["a", "b"])
 
 
-def _likely(x: np.ndarray, y: np.ndarray, total: np.ndarray) -> np.ndarray:
+def _likely(x: np.ndarray, y: np.ndarray, total: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     """Whether sketches allow the threshold: their estimate is within five standard deviations of it or above.
 
     Each part of the hash space that either row fills samples one shingle of the union, without replacement.
     """
     sampled = np.maximum(((x | y) != 0).sum(axis=1), 1)
     same = ((x == y) & (x != 0)).sum(axis=1)
-    level = PERCENT / 100
+    level = percent / 100
     union = np.maximum(total / (1 + level), sampled)
     spread = np.sqrt(level * (1 - level) / sampled * np.maximum(1 - sampled / union, 0.03))
     return same / sampled >= level - 5 * spread - 1 / sampled
 
 
-def _rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _rest(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     """Pairs of one key and different components that may be similar, each from the first key it shares.
 
     Rows come sorted by key. A key's members are compared in blocks of 512, so a
@@ -172,14 +188,14 @@ def _rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     x, y = slice(i, min(i + 512, b)), slice(j, min(j + 512, b))
                     ok = parts[x, None] != parts[None, y]
                     small, large = np.minimum(sizes[x, None], sizes[None, y]), np.maximum(sizes[x, None], sizes[None, y])
-                    ok &= 100 * small >= PERCENT * large
+                    ok &= 100 * small >= percent * large
                     p, q = np.nonzero(ok)
                     p, q = p + i, q + j
                     good = p < q
                     p, q = p[good], q[good]
                     for k in range(0, len(p), 2048):
                         u, v = p[k : k + 2048], q[k : k + 2048]
-                        close = _likely(marks[u], marks[v], sizes[u] + sizes[v]) & (_first_shared(halves[u], halves[v]) == key[u].view(np.uint64))
+                        close = _likely(marks[u], marks[v], sizes[u] + sizes[v], percent) & (_first_shared(halves[u], halves[v]) == key[u].view(np.uint64))
                         left.append(ids[u][close])
                         right.append(ids[v][close])
         if left:
@@ -224,36 +240,41 @@ def components(links: DataFrame, rounds: int = 50) -> DataFrame:
     return edges.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "doc_id")
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def _given(step: Callable, value) -> Callable:
+    """`step` of batches with its second argument bound."""
+    return lambda batches: step(batches, value)
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     one = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x"))
     two = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y"))
-    return stored(pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(_confirm, "a long, b long"))
+    return stored(pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(_given(_confirm, percent), "a long, b long"))
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of each document; see the module."""
-    n = partitions_for(docs)
+    n, size = partitions_for(docs), shape(percent)
     docs = docs.where("doc_id is not null").select("doc_id", "text")
     # One row an id; by far most tables have no repeated id, and then this moves ids only.
-    sketches = stored(docs.mapInArrow(_sketch, "doc_id long, n_shingles long, set_low long, set_high long, halves binary, bins binary"))
+    sketches = stored(docs.mapInArrow(_given(_sketch, size), "doc_id long, n_shingles long, set_low long, set_high long, halves binary, bins binary"))
     whole = sketches.groupBy("doc_id").agg(F.min(F.struct("set_low", "set_high", "n_shingles")).alias("s"))
     whole = whole.select("doc_id", "s.*")
     filled = sketches.where("n_shingles > 0")
     distinct = stored(filled.groupBy("set_low", "set_high", "n_shingles").agg(F.min(F.struct("doc_id", "halves", "bins")).alias("s")).select("set_low", "set_high", "n_shingles", "s.*"))
     keys = distinct.select("doc_id", "halves")
-    members = keys.select("doc_id", "halves").mapInArrow(_table_keys, "key long, doc_id long")
+    members = keys.select("doc_id", "halves").mapInArrow(_given(_table_keys, size[0]), "key long, doc_id long")
     stars = members.groupBy("key").agg(F.min("doc_id").alias("head"), F.count("*").alias("n")).where("n > 1")
     found = stored(members.join(stars.select("key", "head"), "key"))
     star = found.where("doc_id != head").select(F.col("head").alias("a"), F.col("doc_id").alias("b")).distinct()
     needed = found.select("doc_id").distinct()
     sets = stored(docs.join(needed, "doc_id").repartition(n, "doc_id").mapInArrow(_set_column, "doc_id long, shingles binary").dropDuplicates(["doc_id"]))
-    links = _confirmed(star, sets)
+    links = _confirmed(star, sets, percent)
     first = stored(components(links))
     placed = found.join(first, "doc_id", "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("component"))
     open_keys = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("key")
     rest = placed.join(open_keys, "key", "left_semi").join(distinct.select("doc_id", "n_shingles", "bins", "halves"), "doc_id")
-    pairs = rest.select("key", "doc_id", "component", "n_shingles", "bins", "halves").repartition(n, "key").sortWithinPartitions("key").mapInArrow(_rest, "a long, b long").distinct()
-    more = _confirmed(pairs, sets)
+    pairs = rest.select("key", "doc_id", "component", "n_shingles", "bins", "halves").repartition(n, "key").sortWithinPartitions("key").mapInArrow(_given(_rest, percent), "a long, b long").distinct()
+    more = _confirmed(pairs, sets, percent)
     groups = components(links.union(more))
     placed = distinct.join(groups, "doc_id", "left").select("set_low", "set_high", F.coalesce("component", "doc_id").alias("component_id"))
     return (
@@ -263,7 +284,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     )
 
 
-def deduplicated(docs: DataFrame) -> DataFrame:
+def deduplicated(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """One row of each group that `near_duplicates` finds, with all its columns."""
-    kept = near_duplicates(docs).where("kept").select("doc_id")
+    kept = near_duplicates(docs, percent).where("kept").select("doc_id")
     return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
