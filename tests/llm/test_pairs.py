@@ -121,6 +121,21 @@ def test_the_stage_links_from_80_percent(spark, docs_of):
     assert {r.doc_id for r in corpus_pipeline.near_duplicates(spark, df, "").collect()} == set(range(0, 60, 2))
 
 
+def test_every_row_counts_by_itself(spark, docs_of):
+    rng = random.Random(9)
+    a, b, c, d = (prose(rng, 80) for _ in range(4))
+    near = a.rsplit(" ", 1)[0] + " changed"
+    rows = [(None, c), (None, d), (5, a), (5, b), (9, near), (9, b), (11, d), (None, None)]
+    got = sorted(((r.doc_id, r.text) for r in near_dup.deduplicated(docs_of(rows)).collect()), key=str)
+    assert got == sorted([(None, c), (None, None), (5, a), (5, b), (11, d)], key=str)
+    items = spark.createDataFrame([(None, " ".join(c.split(" ")[:20]))], "item_id long, text string")
+    assert (None, c) not in {(r.doc_id, r.text) for r in tiling.decontaminated(docs_of(rows), items).collect()}
+    # op9: one row an id, each id by one text in every step.
+    found = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dup.near_duplicates(docs_of(rows)).collect()}
+    texts = {k: min((r.h, r.text) for r in near_dup._keyed(docs_of(rows)).where(f"doc_id = {k}").selectExpr("__row h", "text").collect())[1] for k in (5, 9, 11)}
+    assert found == {k: (n, i) for k, (n, i) in components(list(texts.items())).items()}
+
+
 def test_components_of_long_chains(spark):
     links = spark.createDataFrame([(k, k + 1) for k in range(60)] + [(100, 99), (7, 7)], "a long, b long")
     got = {r.doc_id: r.component for r in near_dup.components(links).collect()}

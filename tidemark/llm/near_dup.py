@@ -16,10 +16,16 @@ Steps, each of which moves ids and fixed-size values only, save one pass of text
    components go on; there, pairs of different components whose minhashes agree
    often enough are compared on full sets as well, and components are joined again.
 
+All steps name a row by a hash of its doc_id and text; a component gets its smallest
+doc_id at the end.
+
 Defined cases: null or empty text, or text without words, has no shingles and is
-its own component. Rows with one doc_id count as one document (the row whose text
-sorts first); a null doc_id is left out, as no link can name it. Columns
-other than doc_id and text are ignored. An empty table gives an empty result.
+its own component. `deduplicated` takes every row by itself: rows with one doc_id and
+different texts are different documents, rows without a doc_id are documents, and rows
+that agree in doc_id and text are one. `near_duplicates` has one row a doc_id, as its
+SQL: of several texts the one with the smallest row hash counts in all steps and the
+others in none, and rows without a doc_id, which no link can name, are left out.
+Columns other than doc_id and text are ignored. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -82,13 +88,14 @@ def _sketch(batches: Iterator[pa.RecordBatch], size: tuple[int, int]) -> Iterato
             yield pa.RecordBatch.from_arrays(
                 [
                     part.column(part.schema.get_field_index("doc_id")),
+                    part.column(part.schema.get_field_index("id")),
                     pa.array(sizes, pa.int64()),
                     pa.array(low.view(np.int64)),
                     pa.array(high.view(np.int64)),
                     pa.array([x.tobytes() for x in textvec.mix(halves)], pa.binary()),
                     pa.array([x.tobytes() for x in bins], pa.binary()),
                 ],
-                names=["doc_id", "n_shingles", "set_low", "set_high", "halves", "bins"],
+                names=["doc_id", "id", "n_shingles", "set_low", "set_high", "halves", "bins"],
             )
 
 
@@ -251,14 +258,24 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return stored(pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(_given(_confirm, percent), "a long, b long"))
 
 
-def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) of each document; see the module."""
-    n, size = partitions_for(docs), shape(percent)
-    docs = docs.where("doc_id is not null").select("doc_id", "text")
-    # One row an id; by far most tables have no repeated id, and then this moves ids only.
-    sketches = stored(docs.mapInArrow(_given(_sketch, size), "doc_id long, n_shingles long, set_low long, set_high long, halves binary, bins binary"))
-    whole = sketches.groupBy("doc_id").agg(F.min(F.struct("set_low", "set_high", "n_shingles")).alias("s"))
-    whole = whole.select("doc_id", "s.*")
+def _keyed(docs: DataFrame) -> DataFrame:
+    """`docs` with __row, a hash that names a row by its doc_id and text."""
+    return docs.withColumn("__row", F.xxhash64(F.col("doc_id").cast("long"), F.lit("|"), "text"))
+
+
+def _sketched(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(rows, sketches): doc_id (the row hash) and text; and one sketch a row, with the doc_id itself as `id`."""
+    keyed = _keyed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
+    rows = keyed.select(F.col("__row").alias("doc_id"), "text", F.col("doc_id").alias("id"))
+    sketches = rows.mapInArrow(_given(_sketch, shape(percent)), "doc_id long, id long, n_shingles long, set_low long, set_high long, halves binary, bins binary")
+    return rows, stored(sketches)
+
+
+def _placed(rows: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """doc_id (the row hash), id, n_shingles and component (a row hash) of each different row of `sketches`."""
+    n, size = partitions_for(rows), shape(percent)
+    # Rows with one hash agree in all columns but the sketches' order; this moves ids only.
+    whole = sketches.groupBy("doc_id").agg(F.min(F.struct("id", "set_low", "set_high", "n_shingles")).alias("s")).select("doc_id", "s.*")
     filled = sketches.where("n_shingles > 0")
     distinct = stored(filled.groupBy("set_low", "set_high", "n_shingles").agg(F.min(F.struct("doc_id", "halves", "bins")).alias("s")).select("set_low", "set_high", "n_shingles", "s.*"))
     keys = distinct.select("doc_id", "halves")
@@ -267,7 +284,8 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     found = stored(members.join(stars.select("key", "head"), "key"))
     star = found.where("doc_id != head").select(F.col("head").alias("a"), F.col("doc_id").alias("b")).distinct()
     needed = found.select("doc_id").distinct()
-    sets = stored(docs.join(needed, "doc_id").repartition(n, "doc_id").mapInArrow(_set_column, "doc_id long, shingles binary").dropDuplicates(["doc_id"]))
+    texts = rows.select("doc_id", "text")
+    sets = stored(texts.join(needed, "doc_id").repartition(n, "doc_id").mapInArrow(_set_column, "doc_id long, shingles binary").dropDuplicates(["doc_id"]))
     links = _confirmed(star, sets, percent)
     first = stored(components(links))
     placed = found.join(first, "doc_id", "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("component"))
@@ -276,15 +294,24 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     pairs = rest.select("key", "doc_id", "component", "n_shingles", "bins", "halves").repartition(n, "key").sortWithinPartitions("key").mapInArrow(_given(_rest, percent), "a long, b long").distinct()
     more = _confirmed(pairs, sets, percent)
     groups = components(links.union(more))
-    placed = distinct.join(groups, "doc_id", "left").select("set_low", "set_high", F.coalesce("component", "doc_id").alias("component_id"))
-    return (
-        whole.join(placed, ["set_low", "set_high"], "left")
-        .select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
-        .withColumn("kept", F.col("doc_id") == F.col("component_id"))
-    )
+    placed = distinct.join(groups, "doc_id", "left").select("set_low", "set_high", F.coalesce("component", "doc_id").alias("component"))
+    # Rows without shingles stand alone.
+    return whole.join(placed, ["set_low", "set_high"], "left").select("doc_id", "id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component"))
+
+
+def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) of each doc_id; see the module."""
+    rows, sketches = _sketched(docs.where("doc_id is not null"), percent)
+    # The row that counts for each id, before anything is linked.
+    counted = sketches.groupBy("id").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
+    placed = stored(_placed(rows, sketches.join(counted, "doc_id", "left_semi"), percent))
+    named = placed.groupBy("component").agg(F.min("id").alias("component_id"))
+    return placed.join(named, "component").select(F.col("id").alias("doc_id"), "n_shingles", "component_id", (F.col("id") == F.col("component_id")).alias("kept"))
 
 
 def deduplicated(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """One row of each group that `near_duplicates` finds, with all its columns."""
-    kept = near_duplicates(docs, percent).where("kept").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    """One row of each group of near-duplicate rows, that of the smallest doc_id, with all its columns."""
+    rows, sketches = _sketched(docs, percent)
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col("doc_id").alias("row")))
+    kept = _placed(rows, sketches, percent).groupBy("component").agg(first.alias("f")).select(F.col("f.row").alias("__row"))
+    return _keyed(docs).join(kept, "__row", "left_semi").dropDuplicates(["__row"]).drop("__row")

@@ -16,7 +16,8 @@ Defined cases: null or empty texts have no words and match nothing; items shorte
 than `min_match` words match as a whole. Words are compared with A-Z in lower
 case. Repeated rows of documents give a row each; of rows with one item_id the one
 covered best counts. A null doc_id is carried like any other; items with a null
-item_id are left out, as no finding could name them. An empty table of either kind
+item_id are left out of `leaks`, as no finding could name them, and count in
+`decontaminated`. An empty table of either kind
 gives an empty result. Other columns are ignored by `leaks` and
 kept as they are by `decontaminated`.
 """
@@ -137,8 +138,11 @@ class _Items:
         return sorted(best.values())
 
 
-def _blocks(benchmark: DataFrame, min_match: int) -> Iterator[_Items]:
-    items = benchmark.where("item_id is not null").select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
+def _blocks(benchmark: DataFrame, min_match: int, unnamed: bool = False) -> Iterator[_Items]:
+    """The items in blocks; with `unnamed`, also those without an id, which get ids of their own below all others."""
+    own = F.lit(-(2**62)) - F.pmod(F.xxhash64("text"), F.lit(2**62))
+    named = benchmark.withColumn("item_id", F.coalesce(F.col("item_id").cast("long"), own)) if unnamed else benchmark.where("item_id is not null")
+    items = named.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, math.ceil(size / BLOCK_BYTES))
     for k in range(blocks):
@@ -172,8 +176,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, min_match: int = MIN_MATCH, cov
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, min_match: int = MIN_MATCH, coverage: float = COVERAGE) -> DataFrame:
-    """The documents into which no item leaks, with all their columns."""
-    for block in _blocks(benchmark, min_match):
+    """The documents into which no item leaks, one without an id included, with all their columns."""
+    for block in _blocks(benchmark, min_match, unnamed=True):
         sent = docs.sparkSession.sparkContext.broadcast(block)
 
         def clean(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
