@@ -103,6 +103,16 @@ PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>v
 <article><h1>Head &eacute; &am</h1><p><b>One  two<br>three<p>Four\nfive &lt;x&gt;</p></article><footer>&copy; us"""
 
 
+def test_nothing_but_raw_text_is_dropped():
+    texts = lambda page: [t for _, t, _ in html_blocks.blocks(page)]
+    assert texts("<p>a<svg width='1'/></p><article><p>b</p></article><svg><text>no</text></svg><p>c") == ["a", "b", "c"]
+    for name in ("title-bar", "select-menu", "template-x", "svg-icon"):
+        assert texts(f"<{name}>head</{name}><p>b</p>") == ["head", "b"]
+    assert texts("<select><option>o</option><p>b</p>") == ["o", "b"] and texts("<object><p>b</p></object><p>c") == ["b", "c"]
+    assert texts("<p>area <math><mi>x</mi></math> here") and "x" in " ".join(texts("<p>area <math><mi>x</mi></math> here"))
+    assert texts("<svg><text>no</text></svg>") == texts("<textarea>never closed <p>x") == texts("<style>p") == []
+
+
 def test_blocks():
     assert [t for _, t, _ in html_blocks.blocks(PAGE)] == ["Menu a", "Buy & save", "Head é &am", "One two three", "Four five <x>", "© us"]
     assert html_blocks.blocks("") == [] and html_blocks.blocks("<script>never closed <p>x") == []

@@ -14,7 +14,7 @@ forms, adverts, comments and link lists around and inside the article), which ke
 labels. So the labeller can't lean on one tag. Training draws `SALTS * PER_SALT` pages.
 
 Defined cases: null or empty html gives an empty text. Scripts, styles, comments and
-the like are no text, also if they are not closed. Without any page to learn from,
+the like are no text, raw text (scripts, styles, titles) also if it is not closed. Without any page to learn from,
 only the built-in layouts over made-up words are learned. Repeated rows give a row each.
 Other columns are ignored. An empty table gives an empty result.
 """
@@ -43,7 +43,8 @@ EPOCHS = 6
 BATCH_STEPS = 8192
 
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|select|svg|iframe|object|math|title)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|<[!?/a-zA-Z][^>]*(?:>|\Z)|[^<]+|<",
+    # Raw text runs to its end tag or the end of the page; the rest only goes where it is closed, and nothing goes after "/>".
+    r"<!--.*?(?:-->|\Z)|<(script|style|textarea|iframe|title)(?=[\s/>])[^>]*>.*?(?:</\1\s*>|\Z)|<(noscript|template|select|svg)(?=[\s/>])[^>]*(?<!/)>.*?</\2\s*>|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|<[!?/a-zA-Z][^>]*(?:>|\Z)|[^<]+|<",
     re.S | re.I,
 )
 _ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
@@ -71,7 +72,7 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, float]]:
         linked = 0
 
     for m in _TOKEN.finditer(page):
-        tag = m.group(3)
+        tag = m.group(4)
         if tag is None:
             token = m.group()
             if token[0] != "<" or token == "<":
@@ -81,13 +82,13 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, float]]:
         tag = tag.lower()
         if tag in _INLINE:
             if tag == "a":
-                in_link = 0 if m.group(2) else 1
+                in_link = 0 if m.group(3) else 1
             elif tag == "br":
                 parts.append(" ")
             continue
         end()
         in_link = 0
-        if m.group(2):
+        if m.group(3):
             for k in range(len(path) - 1, -1, -1):
                 if path[k][0] == tag:
                     del path[k:]
@@ -95,9 +96,9 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, float]]:
             continue
         while path and path[-1][0] in _CLOSES.get(tag, {"p"}):
             path.pop()
-        if tag not in _VOID and not m.group(4).rstrip().endswith("/"):
+        if tag not in _VOID and not m.group(5).rstrip().endswith("/"):
             names = [tag]
-            for name, *values in _ATTRIBUTE.findall(m.group(4)):
+            for name, *values in _ATTRIBUTE.findall(m.group(5)):
                 names += [f"{name.lower()}:{x}" for v in values for x in re.split(r"[\s_-]+", v.lower()) if x]
             path.append((tag, tuple(names)))
     end()
