@@ -179,6 +179,13 @@ def test_line_dedup_equals_brute_force(spark, docs_of):
     assert texts == {d: "\n".join(x for p, x in enumerate(t.split("\n")) if p not in expected.get(d, ())) for d, t in rows}
 
 
+def test_lines_with_equal_small_sets_match(spark, docs_of):
+    lines = ["a a a a a", "a a a a a a a", "x y x y x y x", "x y x y x y x y x", "p q r p q r p q", "p q r p q r p q r p q", "a b c d e f", "a b c d e g", "k k k k"]
+    rows = list(enumerate(lines))
+    got = {r.doc_id: set(r.removed) for r in line_dedup.report(docs_of(rows)).collect() if r.removed}
+    assert got == near_lines(rows) == {1: {0}, 3: {0}, 5: {0}}
+
+
 def tile_coverage(text, item):
     w, t = (WORD.findall(x.translate(LOWER)) for x in (text or "", item))
     used_w, used_t, total = set(), set(), 0
