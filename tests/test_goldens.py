@@ -144,3 +144,14 @@ def test_arrays_and_shapes(spark):
     assert nested(run(table, "group", nesting=["s.t.u"]), ["s_t_u"], "count") == {"x": 1, "y": 1}
     assert flat(df).columns == ["id", "ts", "tags", "s.n", "s.t.u"]
     assert text_grid(df.select("id")).splitlines()[1] == "| id |"
+
+
+def test_long_gaps_are_filled(spark):
+    from pyspark.sql import functions as F
+
+    from tidemark.operators.analytics import zero_filled
+
+    rows = spark.createDataFrame([(0, 5), (86_400_000, 6), (1_500_000_000, 7)], "period long, count long")
+    got = zero_filled(rows, [], "period", "seconds", "UTC", {"count": F.lit(0).cast("long")})
+    r = got.agg(F.count("*").alias("n"), F.countDistinct("period").alias("d"), F.sum("count").alias("s"), F.max("period").alias("m")).first()
+    assert (r.n, r.d, r.s, r.m) == (1_500_001, 1_500_001, 18, 1_500_000_000)

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.functions import metrics
-from tidemark.functions.timeutil import bucket_start, duration_ms, next_buckets
+from tidemark.functions.timeutil import PERIOD_MS, bucket_start, duration_ms, next_buckets
 from tidemark.plans.requests import DAY_MS, Prepared, RequestError, filters_of, prepare
 from tidemark.sources.events import TIME_ALIAS, EventTable
 
@@ -158,15 +158,27 @@ def group(p: Prepared) -> DataFrame:
     return out.select(*_named(p, paths, names), out.columns[-1])
 
 
-def zero_filled(df: DataFrame, keys: Sequence[str], time: str, period: str, zone: str, values: dict[str, Column], limit: int = 1_000_000) -> DataFrame:
+#: Buckets in one array of a gap.
+GAP_STEP = 86_400
+
+
+def zero_filled(df: DataFrame, keys: Sequence[str], time: str, period: str, zone: str, values: dict[str, Column]) -> DataFrame:
     """`df` with a row for every bucket between the first and last of its group.
 
     What is filled is one row a bucket already, so groups are small; the range itself is made
-    where the gap is, from each bucket to the next, and never gathered.
+    where the gap is, from each bucket to the next, and never gathered. A long gap is unfolded in
+    two steps, so that no array has more than GAP_STEP buckets of a fixed size.
     """
     ahead = F.lead(time).over(Window.partitionBy(*keys).orderBy(time) if keys else Window.orderBy(time))
-    step = F.when(F.col("__next").isNull(), F.array(F.col(time))).otherwise(F.slice(next_buckets(F.col(time), F.col("__next"), period, zone), 1, limit))
-    rows = df.withColumn("__next", ahead).withColumn("__at", F.explode(step)).where(F.col("__next").isNull() | (F.col("__at") != F.col("__next")))
+    rows = df.withColumn("__next", ahead)
+    if period != "days":
+        span = GAP_STEP * PERIOD_MS[period]
+        rows = rows.withColumn("__from", F.explode(F.when(F.col("__next").isNull(), F.array(F.col(time))).otherwise(F.sequence(F.col(time), F.col("__next"), F.lit(span).cast("long")))))
+        rows = rows.withColumn("__to", F.least(F.col("__next"), F.col("__from") + F.lit(span - PERIOD_MS[period]).cast("long")))
+    else:
+        rows = rows.withColumns({"__from": F.col(time), "__to": F.col("__next")})
+    step = F.when(F.col("__next").isNull(), F.array(F.col(time))).otherwise(next_buckets(F.col("__from"), F.col("__to"), period, zone))
+    rows = rows.withColumn("__at", F.explode(step)).where(F.col("__next").isNull() | (F.col("__at") != F.col("__next")))
     here = F.col("__at") == F.col(time)
     names = [c for c in df.columns if c not in (*keys, time)]
     return rows.select(*keys, F.col("__at").alias(time), *(F.when(here, F.col(c)).otherwise(values.get(c, F.lit(None))).alias(c) for c in names))

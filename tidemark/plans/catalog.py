@@ -72,6 +72,7 @@ for _name, _filter, _where in [
     ("last", {"operator": "last", "duration": "36h", "currentTime": NOW - 5 * DAY, "roundingMode": "floor"}, f"epoch_us(ts) between 1000 * ({NOW - 5 * DAY - 36 * 3600000}) and 1000 * ({NOW - 5 * DAY})"),
     ("contains", {"operator": "contains", "field": "kind", "value": "*ur?ha*"}, "kind like '%ur_ha%'"),
     ("wildcard", {"operator": "wildcard", "field": "kind", "value": "s"}, "kind like 's%'"),
+    ("json_path", {"operator": "greater_than", "field": "props.k", "value": 90}, "cast(props->>'$.k' as double) > 90"),
     ("time_between", {"operator": "between", "field": "_timestamp", "temporal": True, "from": NOW - 9 * DAY, "to": NOW - 7 * DAY}, f"epoch_us(ts) between 1000 * ({NOW - 9 * DAY}) and 1000 * ({NOW - 7 * DAY})"),
 ]:
     # A whole result, not a page: the filter alone, in the order of nothing.
