@@ -199,3 +199,11 @@ def test_pipeline(spark):
     leaked = {r.doc_id for r in queries.op6_string_tiling(spark, SF).collect()}
     failed = {r.doc_id for r in queries.op2_quality_rules(spark, SF).where("not kept").collect()}
     assert kept and not kept & leaked and not kept & failed
+
+
+def test_training_windows_come_from_the_whole_text(spark):
+    from pyspark.sql import functions as F
+
+    texts = ["h" * 1024 + "".join(chr(97 + k % 7) for k in range(20_000)) + str(n) for n in range(10)] + ["short", ""]
+    got = [r.w for r in spark.createDataFrame([(t,) for t in texts], "text string").select(language_id.sampled_windows(F.col("text")).alias("w")).collect()]
+    assert all(0 < len(w) <= 1024 for w in got[:10]) and sum(w.count("h") for w in got[:10]) < 5 * 1024 and got[10:] == ["short", ""]

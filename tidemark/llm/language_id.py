@@ -24,7 +24,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import textvec
@@ -138,13 +138,21 @@ def train(texts: list[str], labels: list[str], epochs: int = 8, seed: int = 5) -
     return net
 
 
+def sampled_windows(text: Column) -> Column:
+    """TRAIN_WINDOWS windows of a text, joined, chosen and ordered by a hash over all its windows; all of a shorter text."""
+    starts = F.sequence(F.lit(0), F.ceil(F.length(text) / WINDOW).cast("int") - 1)
+    order = F.array_sort(F.transform(starts, lambda i: F.struct(F.xxhash64(text, i).alias("h"), i.alias("i"))))
+    parts = F.transform(F.slice(order, 1, TRAIN_WINDOWS), lambda e: F.substr(text, e["i"] * WINDOW + 1, F.lit(WINDOW)))
+    return F.when(F.length(text) > WINDOW * TRAIN_WINDOWS, F.array_join(parts, "")).otherwise(text)
+
+
 def fit(docs: DataFrame, salts: int = SALTS, per_salt: int = PER_SALT) -> Net | None:
     """A network from a bounded sample of labelled texts that `fold` does not hold out."""
     ids = bounded_sample(docs.where(fold() != 0), "lang", "doc_id", salts, per_salt)
     if not ids:
         return None
     wanted = docs.where(F.col("doc_id").isin([i for _, i in ids])).where("lang is not null")
-    got = wanted.select("doc_id", "lang", F.substring(F.coalesce("text", F.lit("")), 1, WINDOW * TRAIN_WINDOWS).alias("text")).collect()
+    got = wanted.select("doc_id", "lang", sampled_windows(F.coalesce("text", F.lit(""))).alias("text")).collect()
     got = sorted({(r.lang, r.doc_id, r.text) for r in got})
     return train([r[2] for r in got], [r[0] for r in got])
 
