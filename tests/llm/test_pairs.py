@@ -163,7 +163,8 @@ def near_lines(rows):
     return gone
 
 
-def test_line_dedup_equals_brute_force(spark, docs_of):
+@pytest.mark.parametrize("native", [False, True])
+def test_line_dedup_equals_brute_force(spark, docs_of, native):
     rng = random.Random(4)
     shared = [prose(rng, rng.randrange(4, 60)) for _ in range(15)]
     rows = []
@@ -173,9 +174,9 @@ def test_line_dedup_equals_brute_force(spark, docs_of):
         rows.append((d, "\n".join(lines)))
     df = docs_of(rows)
     expected = near_lines(rows)
-    got = {r.doc_id: set(r.removed) for r in line_dedup.report(df).collect() if r.removed}
+    got = {r.doc_id: set(r.removed) for r in line_dedup.report(df, native=native).collect() if r.removed}
     assert got == expected
-    texts = {r.doc_id: r.text for r in line_dedup.without_repeats(df).collect()}
+    texts = {r.doc_id: r.text for r in line_dedup.without_repeats(df, native=native).collect()}
     assert texts == {d: "\n".join(x for p, x in enumerate(t.split("\n")) if p not in expected.get(d, ())) for d, t in rows}
 
 
@@ -186,6 +187,20 @@ def test_lines_with_equal_small_sets_match(spark, docs_of):
     assert got == near_lines(rows) == {1: {0}, 3: {0}, 5: {0}}
 
 
+def test_hot_shingles_are_dealt_and_compared_in_parts(spark, docs_of, monkeypatch):
+    """One phrase in every line and one near-copied line in a third of all, with limits so low that they are dealt."""
+    monkeypatch.setattr(line_dedup, "HOT", 4)
+    monkeypatch.setattr(line_dedup, "PART", 3)
+    rng = random.Random(11)
+    phrase, base = prose(rng, 6), prose(rng, 30)
+    rows = [(d, (edited(rng, base, rng.choice([0, 1, 2])) if d % 3 == 0 else phrase + " " + prose(rng, rng.randrange(1, 4), 6)) + "\n" + phrase) for d in range(90)]
+    rows += [(None, rows[0][1]), (7, rows[7][1]), (7, "other " + rows[8][1])]
+    df = docs_of(rows)
+    got = {r.doc_id: set(r.removed) for r in line_dedup.report(df.where("doc_id <> 7 and doc_id is not null")).collect() if r.removed}
+    assert got == near_lines([r for r in rows if r[0] not in (7, None)])
+    assert len(line_dedup.report(df).collect()) == len(rows)
+
+
 def tile_coverage(text, item):
     w, t = (WORD.findall(x.translate(LOWER)) for x in (text or "", item))
     used_w, used_t, total = set(), set(), 0

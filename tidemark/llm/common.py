@@ -10,7 +10,12 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import weakref
+import zlib
+from collections.abc import Iterator
+from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,21 +29,78 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; a folder of our own only where none is set."""
+    """The shared folder that the cluster names in spark.checkpoint.dir.
+
+    Without one, a folder of this machine will do only where driver and executors are one process.
+    """
     where = spark.conf.get("spark.checkpoint.dir", None)
-    return where or f"file://{os.path.join(tempfile.gettempdir(), 'checkpoints')}"
+    if where:
+        return where.rstrip("/")
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError("spark.checkpoint.dir is not set; it must name a folder that all executors share")
+    return f"file://{os.path.join(tempfile.gettempdir(), 'checkpoints')}"
+
+
+#: Names of the tables behind the DataFrames that `stored` gave, and the open blocks of `work_tables`.
+_NAMES: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+_BLOCKS: list[list[str]] = []
+#: Lets Spark delete the shuffle files of a query when the query ends, not when the driver collects its garbage.
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def _shuffles_deleted(spark: SparkSession) -> Iterator[None]:
+    before = spark.conf.get(_CLEAN, None)
+    spark.conf.set(_CLEAN, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(_CLEAN) if before is None else spark.conf.set(_CLEAN, before)
+
+
+def collected(df: DataFrame) -> pa.Table:
+    """The rows of `df`, of which there must be few whatever the input."""
+    with _shuffles_deleted(df.sparkSession):
+        return df.toArrow()
 
 
-def stored(df: DataFrame) -> DataFrame:
+def stored(df: DataFrame, **options: str) -> DataFrame:
     """`df` written once to the shared folder and read back, so that its lineage ends there.
 
-    The folder of each call is new; Spark removes checkpoint folders with the
-    cluster's own clean-up of spark.checkpoint.dir.
+    It is a managed table of a database in that folder, with a name of its own. `dropped` deletes it; those that a
+    lazy result still reads go at the end of the `work_tables` block around the operator, or with the folder.
     """
     spark = df.sparkSession
-    path = f"{checkpoint_dir(spark).rstrip('/')}/tables/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    folder = f"{checkpoint_dir(spark)}/tables"
+    database = f"work_{zlib.crc32(folder.encode()):08x}"
+    spark.sql(f"create database if not exists {database} location '{folder}'")
+    name = f"{database}.t_{uuid.uuid4().hex}"
+    with _shuffles_deleted(spark):
+        df.write.format("parquet").options(**options).saveAsTable(name)
+    for block in _BLOCKS[-1:]:
+        block.append(name)
+    out = spark.table(name)
+    _NAMES[out] = name
+    return out
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Delete tables that `stored` wrote; nothing that is still to run may read them."""
+    for df in tables:
+        df.sparkSession.sql(f"drop table if exists {_NAMES[df]}")
+
+
+@contextmanager
+def work_tables(spark: SparkSession) -> Iterator[None]:
+    """At the end of the block all tables go that `stored` wrote in it. Results must have been written by then."""
+    own: list[str] = []
+    _BLOCKS.append(own)
+    try:
+        yield
+    finally:
+        _BLOCKS.remove(own)
+        for name in own:
+            spark.sql(f"drop table if exists {name}")
 
 
 def packed(docs: DataFrame, *more: str) -> DataFrame:

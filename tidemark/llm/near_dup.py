@@ -144,22 +144,6 @@ def _set_column(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def _confirm(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """Keep pairs whose full sets are similar enough."""
-    for batch in batches:
-        one, two = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-        keep = np.zeros(batch.num_rows, dtype=bool)
-        for i, (x, y) in enumerate(zip(one, two, strict=True)):
-            a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-            small, large = (a, b) if len(a) <= len(b) else (b, a)
-            if 100 * len(small) < percent * len(large):
-                continue
-            at = np.searchsorted(large, small)
-            both = int((large[np.minimum(at, len(large) - 1)] == small).sum())
-            keep[i] = 100 * both >= percent * (len(a) + len(b) - both)
-        yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep)), batch.column(1).filter(pa.array(keep))], names=["a", "b"])
-
-
 def _likely(x: np.ndarray, y: np.ndarray, total: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     """Whether sketches allow the threshold: their estimate is within five standard deviations of it or above.
 
@@ -255,7 +239,7 @@ def _given(step: Callable, value) -> Callable:
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     one = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x"))
     two = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y"))
-    return stored(pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(_given(_confirm, percent), "a long, b long"))
+    return stored(pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(_given(textvec.similar_pairs, percent), "a long, b long"))
 
 
 def _keyed(docs: DataFrame) -> DataFrame:

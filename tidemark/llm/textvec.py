@@ -139,3 +139,60 @@ def shingle_sets(data: np.ndarray, at: np.ndarray, size: int, lower: bool = True
                 value = value * np.uint64(0xD6E8FEB86659FD93) + words[first[short] + j]
             values, rows = np.concatenate([values, mix(value)]), np.concatenate([rows, short])
     return sets_by_row(values, rows, len(at) - 1)
+
+
+def line_spans(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(word hashes, first, rows, places): the words of every line that has some; line i has words first[i]:first[i + 1].
+
+    `rows` and `places` say in which row a line stands, and as which of its \\n-split lines, from 0.
+    """
+    starts, ends, first = word_spans(data, at)
+    words = word_hashes(data, starts, ends)
+    row = np.repeat(np.arange(len(at) - 1), np.diff(first))
+    breaks = np.flatnonzero(data == 0x0A)
+    line = np.searchsorted(breaks, starts) - np.searchsorted(breaks, at[:-1])[row]
+    lead = np.ones(len(words), dtype=bool)
+    lead[1:] = (row[1:] != row[:-1]) | (line[1:] != line[:-1])
+    begin = np.flatnonzero(lead)
+    return words, np.append(begin, len(words)), row[begin], line[begin]
+
+
+def sequence_hashes(words: np.ndarray, first: np.ndarray, seed: int) -> np.ndarray:
+    """A hash of each word sequence words[first[i]:first[i + 1]], none of them empty."""
+    if len(first) < 2:
+        return np.zeros(0, np.uint64)
+    place = (np.arange(len(words)) - np.repeat(first[:-1], np.diff(first))).astype(np.uint64)
+    return mix(np.add.reduceat(mix(words + (place + np.uint64(seed)) * _BASE), first[:-1]))
+
+
+def binary_column(values: np.ndarray, first: np.ndarray, width: int = 8) -> pa.Array:
+    """64-bit values as one binary cell a row; row i holds values[first[i]:first[i + 1]]. Of each its `width` leading bytes are kept."""
+    raw = np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, 8 - width :])
+    return pa.Array.from_buffers(pa.large_binary(), len(first) - 1, [None, pa.py_buffer((width * first).astype(np.int64)), pa.py_buffer(raw)]).cast(pa.binary())
+
+
+def values_of(column: pa.Array, width: int = 8) -> tuple[np.ndarray, np.ndarray]:
+    """(values, first) of a column of `binary_column`."""
+    column = column.cast(pa.large_binary())
+    _, offsets, data = column.buffers()
+    at = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1]
+    raw = np.frombuffer(data, np.uint8)[at[0] : at[-1]] if data is not None else np.zeros(0, np.uint8)
+    full = np.zeros((len(raw) // width, 8), np.uint8)
+    full[:, 8 - width :] = raw.reshape(-1, width)
+    return full.reshape(-1).view("<u8").astype(np.uint64, copy=False), (at - at[0]) // width
+
+
+def similar_pairs(batches: Iterator[pa.RecordBatch], percent: int, width: int = 8) -> Iterator[pa.RecordBatch]:
+    """(a, b) of the rows (a, b, set of a, set of b) whose sets, ascending in a binary cell each, are similar enough."""
+    for batch in batches:
+        (one, begin), (two, start) = values_of(batch.column(2), width), values_of(batch.column(3), width)
+        keep = np.zeros(batch.num_rows, dtype=bool)
+        for i in range(batch.num_rows):
+            a, b = one[begin[i] : begin[i + 1]], two[start[i] : start[i + 1]]
+            small, large = (a, b) if len(a) <= len(b) else (b, a)
+            if not len(small) or 100 * len(small) < percent * len(large):
+                continue
+            at = np.searchsorted(large, small)
+            both = int((large[np.minimum(at, len(large) - 1)] == small).sum())
+            keep[i] = 100 * both >= percent * (len(a) + len(b) - both)
+        yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep)), batch.column(1).filter(pa.array(keep))], names=["a", "b"])
