@@ -7,7 +7,8 @@ multiset of lengths that fits one sequence: multiplicative weights on the length
 and in each round the patterns of greatest weight by a knapsack dynamic program,
 until every length is covered in full. The fractional solution is rounded, the
 program is solved again for what is left, and the pieces that no whole pattern
-takes then go to the fullest sequence that they fit (README has their share).
+takes then go where they fit best, into room that patterns left over or new sequences
+(README has their share).
 
 The result is a plan of ranges: "the pieces of length L with ranks r to r + m go
 to sequences s to s + m at offset o". Its size depends on `capacity`, never on the
@@ -39,8 +40,9 @@ CAPACITY = 1024
 END_ID = 2
 #: Groups in which the pieces of one length are counted.
 SALTS = 256
-#: Start weights grow faster than lengths, as long pieces are harder to place late.
-FAVOUR = 2.0
+#: The program is solved from two starts, (power, step): weights grow as that power of the length, as long pieces are
+#: harder to place late, and a pattern covers at most that part of its scarcest length in a round. The better plan counts.
+STARTS = ((2.0, 0.5), (8.0, 1.0))
 #: One pricing gives patterns of almost the greatest weight, PER_PRICING at most; the next prices anew.
 NEAR_BEST = 0.02
 PER_PRICING = 64
@@ -143,7 +145,7 @@ def heaviest_pattern(weights: np.ndarray, lengths: np.ndarray, capacity: int) ->
     return _traced(took, lengths, capacity)
 
 
-def solve(lengths: np.ndarray, demand: np.ndarray, capacity: int, rounds: int, step: float = 0.5) -> tuple[np.ndarray, np.ndarray, float]:
+def solve(lengths: np.ndarray, demand: np.ndarray, capacity: int, rounds: int, power: float = STARTS[0][0], step: float = STARTS[0][1]) -> tuple[np.ndarray, np.ndarray, float]:
     """(patterns, amounts, bound): a fractional cover of all of `demand` by patterns, by multiplicative weights, and
     a lower bound of any cover, from the best dual weights seen.
 
@@ -152,7 +154,7 @@ def solve(lengths: np.ndarray, demand: np.ndarray, capacity: int, rounds: int, s
     After `rounds` rounds every pattern closes a length, so at most as many rounds follow as there are lengths; the
     program ends when all are closed.
     """
-    start = (lengths / capacity) ** FAVOUR
+    start = (lengths / capacity) ** power
     weights = start.copy()
     left = demand.astype(float)
     bound = float(demand @ lengths) / capacity
@@ -182,18 +184,64 @@ def solve(lengths: np.ndarray, demand: np.ndarray, capacity: int, rounds: int, s
     return np.array([np.frombuffer(x, np.int64) for x in chosen]), np.array(list(chosen.values())), bound
 
 
+def best_fit(lengths: np.ndarray, left: np.ndarray, rank: np.ndarray, groups: list[tuple[int, int, int]], sequences: int, capacity: int) -> tuple[list[tuple[int, int, int, int, int]], int]:
+    """(ranges, sequences) that place what is `left`, longest first, where the least room is left over.
+
+    `groups` are the sequences so far, as (first, count, ids in each); equal sequences are handled at once.
+    """
+    rooms: list[list[tuple[int, int]]] = [[] for _ in range(capacity + 1)]
+    for first, count, used in groups:
+        rooms[capacity - used].append((first, count))
+    ranges: list[tuple[int, int, int, int, int]] = []
+    for k in range(len(lengths) - 1, -1, -1):
+        length, n, at = int(lengths[k]), int(left[k]), int(rank[k])
+        room = length
+        while n:
+            while room <= capacity and not rooms[room]:
+                room += 1
+            if room > capacity:
+                room, new = capacity, -(-n // (capacity // length))
+                rooms[room].append((sequences, new))
+                sequences += new
+            first, count = rooms[room].pop()
+            each = min(room // length, n)
+            taken = min(count, n // each)
+            for j in range(each):
+                ranges.append((length, at, taken, first, capacity - room + j * length))
+                at += taken
+            n -= each * taken
+            if taken < count:
+                rooms[room].append((first + taken, count - taken))
+            rooms[room - each * length].append((first, taken))
+            room = length
+    return ranges, sequences
+
+
 def plan(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = 150, passes: int = 4, report: dict | None = None) -> tuple[list[tuple[int, int, int, int, int]], int]:
-    """(ranges, sequences): ranges of (length, first rank, count, first sequence, offset).
+    """(ranges, sequences): ranges of (length, first rank, count, first sequence, offset), the better of two starts of the program.
+
+    `report` gets the pieces placed by the program and by the fill, the sequences, the cover's amount and its lower bound.
+    """
+    found = [_planned(histogram, capacity, rounds, passes, *start) for start in STARTS]
+    ranges, sequences, said = min(found, key=lambda x: (x[1], x[2]["by_fill"]))
+    if report is not None:
+        report.update(said, bound=max(x[2]["bound"] for x in found))
+    return ranges, sequences
+
+
+def _planned(histogram: dict[int, int], capacity: int, rounds: int, passes: int, power: float, step: float) -> tuple[list[tuple[int, int, int, int, int]], int, dict]:
+    """(ranges, sequences, report) of one start.
 
     Every pass rounds the fractional cover down, then takes its patterns once more in the order of what rounding
     cut off, each no more often than what is left allows, and solves again for the rest. After `passes` passes it
-    goes on as long as a pass places at least a tenth of what is left. `report` gets the pieces placed by the
-    program and by the fill, the sequences, the cover's amount and its lower bound.
+    goes on as long as a pass places at least a tenth of what is left. After each pass it is known how many sequences
+    there are if the rest goes to the best fitting room; the pass after which they are fewest is the last that counts.
     """
     lengths = np.array(sorted(histogram), dtype=np.int64)
     left = np.array([histogram[int(x)] for x in lengths], dtype=np.int64)
     rank = np.zeros(len(lengths), dtype=np.int64)
     ranges: list[tuple[int, int, int, int, int]] = []
+    groups: list[tuple[int, int, int]] = []
     sequences = 0
 
     def use(pattern: np.ndarray, times: int) -> None:
@@ -205,17 +253,19 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = 150,
                 rank[k] += times
                 left[k] -= times
                 offset += int(lengths[k])
+        groups.append((sequences, times, offset))
         sequences += times
 
     if len(lengths) and lengths[-1] == capacity:
         only = np.zeros(len(lengths), dtype=np.int64)
         only[-1] = 1
         use(only, int(left[-1]))
-    full, pieces_left, done = sequences, int(left.sum()), 0
+    full, pieces_left, done, rest = sequences, int(left.sum()), 0, 0
     cover = bound = 0.0
+    best = (list(ranges), sequences) if not pieces_left else None
     while left.sum():
         some, before = np.flatnonzero(left), int(left.sum())
-        patterns, amounts, least = solve(lengths[some], left[some].astype(float), capacity, rounds)
+        patterns, amounts, least = solve(lengths[some], left[some].astype(float), capacity, rounds, power, step)
         if not done:
             cover, bound = float(amounts.sum()), least
         done += 1
@@ -226,29 +276,24 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = 150,
             used = pattern > 0
             return int((left[used] // pattern[used]).min())
 
+        def fill() -> None:
+            nonlocal best, rest
+            more, total = best_fit(lengths, left, rank, groups, sequences, capacity)
+            if best is None or total <= best[1]:  # of equal plans that with more by the program
+                best, rest = (ranges + more, total), int(left.sum())
+
         for k in np.argsort(-(patterns @ lengths[some]), kind="stable"):
             times = min(int(np.floor(amounts[k] + 1e-6)), allowed(whole[k]))
             if times > 0:
                 use(whole[k], times)
+        fill()
         for k in np.lexsort((-(amounts % 1), -(patterns @ lengths[some]))):
             if patterns[k] @ lengths[some] >= FULL * capacity and allowed(whole[k]):
                 use(whole[k], 1)
+        fill()
         if before == left.sum() or done >= passes and 10 * (before - left.sum()) < before:
             break
-    rest = int(left.sum())
-    # The rest: each time the pattern that fills a sequence best with pieces that are left.
-    while left.sum():
-        pattern, room = np.zeros(len(lengths), dtype=np.int64), capacity
-        for k in range(len(lengths) - 1, -1, -1):
-            fit = min(int(left[k] - pattern[k]), room // int(lengths[k]))
-            if fit > 0:
-                pattern[k] += fit
-                room -= fit * int(lengths[k])
-        used = pattern > 0
-        use(pattern, int((left[used] // pattern[used]).min()))
-    if report is not None:
-        report.update(pieces=pieces_left, by_program=pieces_left - rest, by_fill=rest, sequences=sequences, full=full, cover=cover, bound=bound, passes=done)
-    return ranges, sequences
+    return *best, {"pieces": pieces_left, "by_program": pieces_left - rest, "by_fill": rest, "sequences": best[1], "full": full, "cover": cover, "bound": bound, "passes": done}
 
 
 def packed(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
