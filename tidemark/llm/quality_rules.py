@@ -32,7 +32,7 @@ MAX_REPEAT_PERCENT = 30
 MAX_TEXTS = 20
 MAX_LINE_WORDS = 40
 MIN_LEFT_PERCENT = 30
-SALTS = 16
+SALTS = 64
 
 
 def words_of(text: Column) -> Column:
@@ -86,9 +86,9 @@ def frequent_lines(docs: DataFrame, host: str = "source", max_texts: int = MAX_T
     rows = _keyed(docs.select("doc_id", F.col(host), "text"), host)
     # Two steps inside the array, so that each line is normalised once.
     normal = F.filter(F.transform(F.split("text", "\n"), normal_line), lambda x: x != "")
-    each = F.transform(normal, lambda x: F.struct(F.xxhash64(x).alias("line"), (spaces(x) + 1).alias("w")))
+    each = F.transform(normal, lambda x, i: F.struct(F.xxhash64(x).alias("line"), (spaces(x) + 1).alias("w"), i.alias("at")))
     lines = rows.select("__k1", "__k2", "__host", F.xxhash64("text").alias("__t"), F.explode_outer(each).alias("__l")).where("__l is not null")
-    lines = lines.select("__k1", "__k2", "__host", "__t", F.col("__l.line").alias("__line"), F.col("__l.w").alias("__w"))
+    lines = lines.select("__k1", "__k2", "__host", "__t", F.col("__l.line").alias("__line"), F.col("__l.w").alias("__w"), F.col("__l.at").alias("__at"))
     lines = lines.where(F.col("__w") <= max_line_words)
     texts = lines.select("__host", "__line", "__t").distinct()
     frequent = texts.groupBy("__host", "__line").agg(F.count("*").alias("n_texts")).where(F.col("n_texts") > max_texts)
@@ -98,12 +98,13 @@ def frequent_lines(docs: DataFrame, host: str = "source", max_texts: int = MAX_T
 def _removed(docs: DataFrame, host: str, max_texts: int, max_line_words: int) -> DataFrame:
     """__k1, __k2, removed_words, __gone (hashes of the lines to remove) of the rows that lose lines."""
     lines, frequent = frequent_lines(docs, host, max_texts, max_line_words)
-    # A row's occurrences of one line together; the salt spreads the rows of a common line.
+    # The salt spreads the rows of a common line. Rows that agree in all have one key: their lines count by place, once.
     mine = lines.withColumn("__salt", F.pmod("__k1", F.lit(SALTS)).cast("int"))
     salted = frequent.select("__host", "__line", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("__salt"))
     hits = mine.join(salted, ["__host", "__line", "__salt"])
-    per_line = hits.groupBy("__k1", "__k2", "__line").agg(F.sum("__w").alias("__all"))
-    return per_line.groupBy("__k1", "__k2").agg(F.sum("__all").alias("removed_words"), F.collect_list("__line").alias("__gone"))
+    per_row = hits.groupBy("__k1", "__k2").agg(F.collect_set(F.struct(F.col("__at").alias("at"), F.col("__w").alias("w"), F.col("__line").alias("line"))).alias("__hits"))
+    words = F.aggregate("__hits", F.lit(0).cast("long"), lambda total, h: total + h["w"])
+    return per_row.select("__k1", "__k2", words.alias("removed_words"), F.array_distinct(F.col("__hits.line")).alias("__gone"))
 
 
 def _judged(rows: DataFrame, removed: DataFrame) -> DataFrame:
