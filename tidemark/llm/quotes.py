@@ -14,8 +14,9 @@ A task parses one message at a time; all linking is joins on hashes. The index o
 passages holds one row a hash, limited to hashes that are quoted, and its join is salted.
 
 Defined cases: null text is empty. A message without a quote that can be linked is a
-root of its own conversation. Rows that share (conv_id, turn) each give a row; as
-ancestors the one whose text sorts first counts. Rows with a null conv_id or turn are
+root of its own conversation. Rows that share (conv_id, turn) each give a row with a
+parent of its own; as ancestors of others they are one message, which holds the passages
+of all and has the parent of the row with the smallest hash. Rows with a null conv_id or turn are
 never parents. Lines that introduce a quote ("... wrote:") go with it. Extra columns are
 ignored. An empty table gives an empty result.
 """
@@ -33,7 +34,9 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import stored
 
-SALTS = 16
+SALTS = 64
+#: Least length of a passage that links to a message of another conversation.
+FAR_CHARS = 8
 _MARKS = re.compile(r"^(?:[ \t]{0,3}>)+")
 _INTRO = re.compile(r"(?:wrote|schrieb|écrit|escribió)\s*:\s*$", re.I)
 _SPACE = re.compile(r"\s+")
@@ -84,26 +87,31 @@ def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def links(parsed: DataFrame) -> DataFrame:
-    """(conv_id, turn, parent, n_linked): the parent (conv_id, turn) of every message that has one."""
-    quotes = parsed.where("exists(units, u -> u.level > 0)").select("conv_id", "turn", F.explode("units").alias("u")).where("u.level > 0")
-    quotes = stored(quotes.select("conv_id", "turn", "u.level", "u.hash", "u.chars").distinct())
+    """(conv_id, turn, key, parent, n_linked): the parent (conv_id, turn) of every row that has one; `key` tells rows of one (conv_id, turn) apart."""
+    quotes = parsed.where("exists(units, u -> u.level > 0)").select("conv_id", "turn", "key", F.explode("units").alias("u")).where("u.level > 0")
+    quotes = stored(quotes.select("conv_id", "turn", "key", "u.level", "u.hash", "u.chars").distinct())
     asked = quotes.select("hash").distinct()
     own = parsed.where("conv_id is not null and turn is not null").select(F.struct("conv_id", "turn").alias("m"), F.explode("units").alias("u")).where("u.level = 0")
-    own = own.select("m", F.col("u.hash").alias("hash")).join(asked, "hash", "left_semi")
+    # A passage that very many wrote is dealt by message; what is asked for is repeated for each share.
+    spread = F.pmod(F.xxhash64("m"), F.lit(SALTS)).cast("int").alias("salt")
+    shares = asked.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    own = own.select("m", F.col("u.hash").alias("hash"), F.col("u.chars").alias("chars"), spread).join(shares, ["hash", "salt"], "left_semi")
     here = own.groupBy(F.col("m.conv_id").alias("conv_id"), "hash").agg(F.min("m").alias("near"))
-    anywhere = own.groupBy("hash").agg(F.min("m").alias("far")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    salted = quotes.withColumn("salt", F.pmod(F.xxhash64("conv_id", "turn"), F.lit(SALTS)).cast("int"))
+    # Across conversations a short passage ("ok", "thanks") names nobody.
+    anywhere = own.where(F.col("chars") >= FAR_CHARS).groupBy("hash").agg(F.min("m").alias("far")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = quotes.withColumn("salt", F.pmod(F.xxhash64("conv_id", "turn", "key"), F.lit(SALTS)).cast("int"))
     found = salted.join(here, ["conv_id", "hash"], "left").join(anywhere, ["hash", "salt"], "left")
     me = F.struct("conv_id", "turn")
     found = found.withColumn("source", F.when(F.col("near") < me, F.col("near")).when(F.col("far") < me, F.col("far"))).where("source is not null")
-    votes = found.groupBy("conv_id", "turn", "source").agg(F.sum(F.when(F.col("level") == 1, F.col("chars"))).alias("chars"), F.count("*").alias("n"))
-    best = votes.groupBy("conv_id", "turn").agg(F.max(F.struct(F.coalesce("chars", F.lit(0)).alias("chars"), F.struct((-F.col("source.turn")).alias("t"), (-F.col("source.conv_id")).alias("c")).alias("o"), F.col("source").alias("source"))).alias("b"), F.sum("n").alias("n_linked"))
-    return best.where("b.chars > 0").select("conv_id", "turn", F.col("b.source").alias("parent"), "n_linked")
+    votes = found.groupBy("conv_id", "turn", "key", "source").agg(F.sum(F.when(F.col("level") == 1, F.col("chars"))).alias("chars"), F.count("*").alias("n"))
+    best = votes.groupBy("conv_id", "turn", "key").agg(F.max(F.struct(F.coalesce("chars", F.lit(0)).alias("chars"), F.struct((-F.col("source.turn")).alias("t"), (-F.col("source.conv_id")).alias("c")).alias("o"), F.col("source").alias("source"))).alias("b"), F.sum("n").alias("n_linked"))
+    return best.where("b.chars > 0").select("conv_id", "turn", "key", F.col("b.source").alias("parent"), "n_linked")
 
 
 def roots(parents: DataFrame) -> DataFrame:
-    """(m, root, depth) of every message in `parents` (conv_id, turn, parent), by pointer doubling."""
-    state = stored(parents.select(F.struct("conv_id", "turn").alias("m"), F.col("parent").alias("root"), F.lit(1).cast("long").alias("depth")))
+    """(m, root, depth) of every message in `parents` (conv_id, turn, key, parent), by pointer doubling; of rows of one message that of the smallest key."""
+    chosen = parents.groupBy("conv_id", "turn").agg(F.min(F.struct("key", "parent")).alias("p"))
+    state = stored(chosen.select(F.struct("conv_id", "turn").alias("m"), F.col("p.parent").alias("root"), F.lit(1).cast("long").alias("depth")))
     while True:
         up = state.select(F.col("m").alias("root"), F.col("root").alias("above"), F.col("depth").alias("more"))
         moved = state.join(up, "root", "left")
@@ -118,11 +126,13 @@ def reply_ordered(messages: DataFrame) -> DataFrame:
     Rows of one thread_conv, sorted by (thread_turn, depth, turn), read every message after its parent.
     """
     columns = [F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text"]
-    parsed = stored(messages.select(*columns).mapInArrow(_parsed, f"conv_id long, turn long, role string, text string, units {_UNITS}"))
+    parsed = messages.select(*columns).mapInArrow(_parsed, f"conv_id long, turn long, role string, text string, units {_UNITS}")
+    parsed = stored(parsed.withColumn("key", F.xxhash64("role", "text", "units")))
     parents = stored(links(parsed))
-    placed = roots(parents)
-    reply = parents.select(F.struct("conv_id", "turn").alias("m"), "parent", "n_linked").join(placed, "m")
-    rows = parsed.withColumn("m", F.struct("conv_id", "turn")).join(reply, "m", "left")
+    # A row's place follows from its own parent: the parent's root, or the parent itself, and one step more.
+    above = roots(parents).select(F.col("m").alias("parent"), "root", "depth")
+    reply = parents.join(above, "parent", "left").select("conv_id", "turn", "key", "parent", "n_linked", F.coalesce("root", "parent").alias("root"), (F.coalesce("depth", F.lit(0)) + 1).alias("depth"))
+    rows = parsed.join(reply, ["conv_id", "turn", "key"], "left")
     quoted = F.size(F.filter("units", lambda u: u["level"] > 0)).cast("long")
     return rows.select(
         "conv_id",
