@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tests.llm.conftest import ODD
 from tidemark.llm import packing, quality_rules, quotes, secrets
@@ -63,6 +64,66 @@ def test_plan_is_close_to_the_bound():
         assert sequences <= len(room) + 1
 
 
+def decreasing(lengths, capacity=1024):
+    """Sequences of best-fit decreasing, and the least that hold the lengths if there are few."""
+    room = np.zeros(capacity + 1, int)
+    n = 0
+    for x in sorted(lengths, reverse=True):
+        k = next((k for k in range(x, capacity + 1) if room[k]), None)
+        if k is None:
+            n, k = n + 1, capacity
+        else:
+            room[k] -= 1
+        room[k - x] += 1
+    return n
+
+
+def fewest(lengths, capacity):
+    def fits(bins, rest):
+        if not rest:
+            return True
+        return any(fits((*bins[:k], b - rest[0], *bins[k + 1 :]), rest[1:]) for k, b in enumerate(bins) if b >= rest[0] and b not in bins[:k])
+
+    return next(n for n in range(1, len(lengths) + 1) if fits((capacity,) * n, sorted(lengths, reverse=True)))
+
+
+def test_plans_are_never_worse_than_best_fit_decreasing():
+    rng = np.random.default_rng(5)
+    spans = [(1, 1025), (340, 701), (400, 600), (200, 400), (100, 520), (500, 530), (1, 60), (250, 260), (900, 1025)]
+    cases = [rng.choice([683, 342, 341], 3000), rng.choice([600, 424, 300], 2000), np.full(1000, 342), np.minimum(1024, rng.lognormal(5, 1, 4000).astype(int) + 1), np.minimum(1024, rng.lognormal(6, 0.7, 4000).astype(int) + 1)]
+    cases += [rng.integers(a, b, n) for a, b in spans for n in (40, 1500)][:15]
+    assert len(cases) == 20
+    for lengths in cases:
+        ranges, sequences = packing.plan(Counter(lengths.tolist()), rounds=60)
+        ends = defaultdict(int)
+        for length, _, count, first, offset in sorted(ranges, key=lambda r: r[4]):
+            for q in range(first, first + count):
+                assert ends[q] == offset and offset + length <= 1024
+                ends[q] += length
+        assert len(ends) == sequences <= decreasing(lengths.tolist())
+
+
+def test_small_plans_are_the_best():
+    rng = np.random.default_rng(6)
+    worse = 0
+    for _ in range(60):
+        lengths = rng.integers(1, 20, 9).tolist()
+        _, sequences = packing.plan(Counter(lengths), 20, rounds=20)
+        best = fewest(lengths, 20)
+        assert best <= sequences <= best + 1
+        worse += sequences - best
+    assert worse <= 6
+
+
+def test_the_split_is_that_of_the_file():
+    import json
+
+    with open(packing.default_tokenizer(), encoding="utf-8") as f:
+        model = json.load(f)
+    kinds = json.dumps(model["pre_tokenizer"])
+    assert "ByteLevel" in kinds and '"add_prefix_space": true' not in kinds and model["normalizer"] is None
+
+
 def test_the_program_covers_every_length():
     rng = np.random.default_rng(4)
     for lengths in (rng.integers(1, 1024, 5000), np.minimum(1023, rng.lognormal(5, 1, 3000).astype(int) + 1)):
@@ -213,6 +274,26 @@ def test_replies(spark, mails):
     assert quotes.reply_ordered(mails.limit(0)).count() == 0
 
 
+def test_rows_of_one_message(spark):
+    rows = [(1, 0, "a", "A first thought on trains."), (1, 1, "b", "> A first thought on trains.\nYes."), (1, 1, "c", "No quote here."), (1, 1, "c", "No quote here."), (2, 0, "d", "ok"), (3, 0, "e", "> ok\nwhat?"), (1, 2, "f", "> No quote here.\nWell.")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumns({c: F.lit("mine") for c in ("key", "m", "units", "depth", "parent", "salt")})
+    got = quotes.reply_ordered(df).collect()
+    assert len(got) == len(rows)
+    found = {(r.conv_id, r.turn, r.role): (r.parent_conv, r.parent_turn, r.n_linked, r.depth) for r in got}
+    assert found[1, 1, "b"] == (1, 0, 1, 1) and found[1, 1, "c"] == (None, None, 0, 0)
+    assert found[3, 0, "e"][:3] == (None, None, 0)  # a short passage of another conversation
+    assert found[1, 2, "f"][:2] == (1, 1) and found[1, 2, "f"][3] == 2  # the message (1, 1) has the parent of one of its rows
+
+
+def test_repeated_rows_lose_lines_once(spark, docs_of):
+    menu = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen"
+    body = lambda d: " ".join(f"w{d}x{k}" for k in range(30))
+    rows = [(d, f"{menu}\n{body(d)}", "host") for d in range(30)]
+    for times in (1, 4):
+        got = [r for r in quality_rules.verdicts(docs_of(rows + rows[:1] * (times - 1))).collect() if r.doc_id == 0]
+        assert [(r.n_words, r.removed_words, r.kept) for r in got] == [(45, 15, True)] * times
+
+
 def test_deep_threads(spark):
     rows = [(1, k, "r", (f"> message number {k - 1}\n" if k else "") + f"message number {k}") for k in range(40)]
     got = {r.turn: r.depth for r in quotes.reply_ordered(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}

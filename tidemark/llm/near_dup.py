@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import textvec
-from tidemark.llm.common import partitions_for, stored
+from tidemark.llm.common import dropped, partitions_for, stored
 
 SHINGLE = 5
 PERCENT = 85
@@ -207,7 +207,7 @@ def _rest(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Record
         yield from pairs(pa.Table.from_batches(held))
 
 
-def components(links: DataFrame, rounds: int = 50) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """(doc_id, component): the smallest id reachable over `links` (a, b), for every id in them.
 
     Alternates two steps until nothing changes: every node's larger neighbours move
@@ -215,14 +215,17 @@ def components(links: DataFrame, rounds: int = 50) -> DataFrame:
     minima are taken before the shuffle, and the state is written each round.
     """
     edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct()
-    before = None
-    for _ in range(rounds):
+    before, last = None, None
+    while True:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = stored(small.union(least.select("u", F.col("m").alias("v"))).distinct())
+        if last is not None:
+            dropped(last)
+        last = edges
         mark = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if mark == before:
             break
