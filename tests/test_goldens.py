@@ -9,6 +9,7 @@ from tidemark.plans.requests import RequestError, days_between, partition_days,
 from tidemark.sources.events import EventTable
 
 SCHEMA = "id string, ts long, os string, version int, device string, battery int"
+#: Rows of documents and, in the tests, what is known to be right for them.
 T0 = 1397658117000
 ROWS = [
     ("Z", T0, "android", 1, "nexus", 24),

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions.filters import Filter
+from tidemark.operators.analytics import run
 from tidemark.operators.responses import write_csv
 from tidemark.plans import guard
 from tidemark.plans.guard import FieldStats
@@ -70,7 +71,45 @@ def test_guard(spark):
     terms = FieldStats("terms", 100, 2, (), {"a": 75, "b": 25})
     assert guard.share(Filter("equals", "x", "b"), terms) == 0.25 and guard.share(Filter("not_in", "x", values=("a",)), terms) == 0.25
     ten = FieldStats("percentile", 100, 100, tuple(range(10, 101, 10)))
-    assert guard.share(Filter("between", "x", low=20, high=40), ten) == 0.4 and guard.share(Filter("greater_than", "x", 85), ten) == 0.1
+    assert guard.share(Filter("between", "x", low=20, high=40), ten) == pytest.approx(0.2) and guard.share(Filter("greater_than", "x", 85), ten) == pytest.approx(0.15)
+    for f in (Filter("greater_than", "x", 1000), Filter("less_than", "x", -5), Filter("equals", "x", 400)):
+        assert guard.share(f, ten) == 0
+    up = [guard.share(Filter("less_equal", "x", v), ten) for v in range(0, 120, 7)]
+    assert up == sorted(up) and up[0] == 0 and up[-1] == 1
+    assert guard.values_shown(FieldStats("cardinality", 10, 10**6), 1000) <= 1000 and guard.estimated_groups({"x": FieldStats("cardinality", 5000, 10**9)}, ["x"], []) <= 5000
+
+
+def test_days_of_a_stored_table_in_other_zones(spark, tmp_path):
+    """Rows around midnight of three zones, written in a session of another zone, are all found."""
+    path, edge = str(tmp_path / "z"), 1704412800000  # 2024-01-05 in UTC
+    rows = spark.range(-30, 31).select(F.col("id"), F.timestamp_millis(F.lit(edge) + F.col("id") * 3_600_000).alias("ts"))
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        store.ingest(rows, path, NOW)
+        for zone in ("UTC", "America/New_York", "Asia/Kolkata"):
+            table = store.open_table(spark, path, "z", zone=zone)
+            got = run(table, {"opcode": "count", "now": NOW, "filters": [{"operator": "between", "field": "_timestamp", "temporal": True, "from": edge - 15 * 3_600_000, "to": edge + 15 * 3_600_000}]})
+            assert got.first()["count"] == 31
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    assert {str(r[0]) for r in spark.read.parquet(path).select(store.DATE).distinct().collect()} == {"2024-01-03", "2024-01-04", "2024-01-05", "2024-01-06"}
+
+
+def test_fields_below_arrays(spark):
+    df = spark.createDataFrame([(1, NOW, [("a", 1), ("b", None)]), (2, NOW, [("b", 3)]), (3, NOW, None), (4, NOW, [])], "event_id long, ts long, items array<struct<name: string, n: int>>")
+    table = EventTable(df)
+    ids = lambda f: sorted(r.event_id for r in run(table, {"opcode": "query", "now": NOW + 1, "filters": [f]}).collect())
+    assert ids({"operator": "equals", "field": "items.name", "value": "b"}) == [1, 2]
+    assert ids({"operator": "not_equals", "field": "items.name", "value": "a"}) == [2, 3, 4]
+    assert ids({"operator": "greater_than", "field": "items.n", "value": 2}) == [2]
+    got = {r.items_name: r["count"] for r in run(table, {"opcode": "group", "now": NOW + 1, "nesting": ["items.name"]}).collect()}
+    assert got == {"a": 1, "b": 2}
+
+
+def test_documents_back(spark, some):
+    back = store.translated_back(some.where("id is not null").withColumn("metadata", F.struct(F.concat(F.lit("p"), "id").alias("id"))).withColumn(store.DATE, F.to_date("ts")))
+    assert back.columns == ["id", "ts", "kind", "value", "date"] and back.orderBy("ts").first().id.startswith("p")
+    assert spark.range(1).select(store.raw_key_v1("t", F.col("id")).alias("k")).first().k == "0:t"
 
 
 def test_csv(spark, tmp_path):

@@ -52,12 +52,15 @@ def percentile_name(p: float) -> str:
 
 
 def percentiles(c: Column, asked: Sequence[float] | None = None, accuracy: int | None = None) -> list[Column]:
-    """Exact (with interpolation) by default; `accuracy` asks for the mergeable sketch that suits very large groups."""
-    out = []
-    for p in asked or PERCENTILES:
-        value = F.percentile(c, p / 100) if accuracy is None else F.percentile_approx(c, p / 100, accuracy)
-        out.append(value.cast("double").alias(percentile_name(p)))
-    return out
+    """All of a group's percentiles from one aggregate, whose elements Spark computes once.
+
+    Exact (with interpolation) by default: a group's task holds its distinct values. `accuracy` asks for the mergeable
+    sketch of fixed size that very large groups need.
+    """
+    points = list(asked or PERCENTILES)
+    shares = F.array(*(F.lit(float(p) / 100) for p in points))
+    every = F.percentile(c, shares) if accuracy is None else F.percentile_approx(c.cast("double"), shares, accuracy)
+    return [every[k].cast("double").alias(percentile_name(p)) for k, p in enumerate(points)]
 
 
 def cardinality(c: Column, precision: str | None = None) -> Column:

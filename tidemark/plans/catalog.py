@@ -40,6 +40,8 @@ def lineitems(spark: SparkSession, sf_dir: str) -> EventTable:
 
 
 def register(name: str, query: Query, sql: str | None = None) -> None:
+    if name in _QUERIES:
+        raise ValueError(f"{name} is registered twice")
     _QUERIES[name] = query
     if sql is not None:
         _SQL[name] = sql
@@ -110,7 +112,7 @@ register("group_nested3", lambda s, d: A.run(lineitems(s, d), {"opcode": "group"
 request("group_unique", {"opcode": "group", "nesting": ["kind"], "uniqueCountOn": "user_id"}, f'select kind, count(distinct user_id) as "count" from {EV} where kind is not null and {PAST} group by 1')
 for _stat, _call in {"min": "min(amount)", "max": "max(amount)", "avg": "avg(amount)", "sum": "sum(amount)", "count": "count(amount)", "sum_of_squares": "sum(amount * amount)", "variance": "var_pop(amount)", "std_deviation": "stddev_pop(amount)"}.items():
     _value = _call if _stat == "count" else f"round({_call}, 4)"
-    request(f"group_{_stat}", {"opcode": "group", "nesting": ["kind"], "aggregationField": "amount", "aggregationType": _stat}, f'select kind, {_value} as "{_stat}" from {EV} where kind is not null and {PAST} group by 1')
+    request(f"group_{_stat}" if _stat != "count" else "group_field_count", {"opcode": "group", "nesting": ["kind"], "aggregationField": "amount", "aggregationType": _stat}, f'select kind, {_value} as "{_stat}" from {EV} where kind is not null and {PAST} group by 1')
 request("group_text_field", {"opcode": "group", "nesting": ["event_type"], "aggregationField": "kind", "aggregationType": "max"}, f'select event_type, count(distinct kind) as "max" from {EV} where {PAST} group by 1')
 request("group_cap", {"opcode": "group", "nesting": ["kind", "user_id"], "cap": 3}, f"""select kind, cast(user_id as varchar) as user_id, n as "count" from (select kind, user_id, count(*) as n, dense_rank() over (order by kind) as a, dense_rank() over (partition by kind order by user_id) as b from {EV} where kind is not null and {PAST} group by 1, 2) where a <= 3 and b <= 3""")
 

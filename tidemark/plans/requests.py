@@ -45,7 +45,8 @@ class Prepared:
     @property
     def rows(self) -> DataFrame:
         """The table's rows that pass the filters."""
-        days = partition_days(self.filters, self.table, self.now_ms)
+        # The folders of stored tables are days of UTC, whatever zone the table's buckets follow.
+        days = partition_days(self.filters, self.table, self.now_ms, "UTC")
         df = self.table.df
         if days is not None and self.table.date is not None:
             low, high = days
@@ -69,8 +70,8 @@ def default_bound(opcode: str, filters: Sequence[Filter], now_ms: int) -> list[F
     return [Filter("less_than", TIME_ALIAS, value=now_ms, temporal=True)]
 
 
-def partition_days(filters: Sequence[Filter], table: EventTable, now_ms: int):
-    """First and last day (in the table's zone) that the filters on event time let through."""
+def partition_days(filters: Sequence[Filter], table: EventTable, now_ms: int, zone: str | None = None):
+    """First and last day, in `zone` or else the table's, that the filters on event time let through."""
     low = high = None
     for f in filters:
         if not table.is_time(f.field):
@@ -78,7 +79,7 @@ def partition_days(filters: Sequence[Filter], table: EventTable, now_ms: int):
         a, b = f.bounds(now_ms)
         low = a if low is None or (a is not None and a > low) else low
         high = b if high is None or (b is not None and b < high) else high
-    day = lambda ms: datetime.fromtimestamp(ms / 1000, UTC).astimezone(ZoneInfo(table.zone)).date()
+    day = lambda ms: datetime.fromtimestamp(ms / 1000, UTC).astimezone(ZoneInfo(zone or table.zone)).date()
     return (None if low is None else day(low), None if high is None else day(high))
 
 

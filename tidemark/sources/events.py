@@ -13,6 +13,25 @@ from pyspark.sql import types as T
 TIME_ALIAS = "_timestamp"
 
 
+def _element(kind: T.DataType) -> T.DataType:
+    while isinstance(kind, T.ArrayType):
+        kind = kind.elementType
+    return kind
+
+
+def _each(c: Column, name: str) -> Column:
+    """A field of every struct of an array."""
+    return F.transform(c, lambda x: x[name])
+
+
+def _flat_array(c: Column, kind: T.ArrayType) -> Column:
+    """Arrays of arrays as one array."""
+    inner = kind.elementType
+    while isinstance(inner, T.ArrayType):
+        c, inner = F.flatten(c), inner.elementType
+    return c
+
+
 @dataclass(frozen=True)
 class EventTable:
     """`date` names the partition column (a date), where the table is stored by day."""
@@ -29,21 +48,25 @@ class EventTable:
         return replace(self, df=df)
 
     def field_type(self, path: str) -> T.DataType | None:
-        """Type of a dotted field; None if the table has no such field, string below a JSON column."""
+        """Type of a dotted field, an array below an array of structs; None if the table has no such field, string below a JSON column."""
         if path.lower() == TIME_ALIAS:
             path = self.ts
         if path in self.df.columns:
             return self.df.schema[path].dataType
         kind: T.DataType = self.df.schema
+        many = False
         for part in path.split("."):
             while isinstance(kind, T.ArrayType):
-                kind = kind.elementType
+                kind, many = kind.elementType, True
             if isinstance(kind, T.StringType) and kind is not self.df.schema:
-                return T.StringType()
+                kind = T.StringType()
+                break
             if not isinstance(kind, T.StructType) or part not in kind.names:
                 return None
             kind = kind[part].dataType
-        return kind
+        while many and isinstance(kind, T.ArrayType):
+            kind = kind.elementType
+        return T.ArrayType(kind) if many else kind
 
     def field(self, path: str) -> Column:
         """A field by dotted path; a missing one is null. Paths go on into JSON strings."""
@@ -56,7 +79,19 @@ class EventTable:
             return F.get_json_object(F.col(f"`{head}`"), f"$.{rest}")
         if self.field_type(path) is None:
             return F.lit(None)
-        return F.col(".".join(f"`{x}`" for x in path.split(".")))
+        c, kind, many = F.col(f"`{head}`"), self.df.schema[head].dataType, False
+        parts = rest.split(".")
+        for i, part in enumerate(parts):
+            if isinstance(kind, T.ArrayType):
+                c, kind, many = _flat_array(c, kind), _element(kind), True
+            if isinstance(kind, T.StringType):
+                below = "$." + ".".join(parts[i:])
+                return F.transform(c, lambda x: F.get_json_object(x, below)) if many else F.get_json_object(c, below)
+            c, kind = (_each(c, part) if many else c[part]), kind[part].dataType
+        if many and isinstance(kind, T.ArrayType):
+            c = _flat_array(F.flatten(c), kind)
+        # An object without the field has no value of it.
+        return F.filter(c, lambda x: x.isNotNull()) if many else c
 
     def is_time(self, path: str) -> bool:
         return path.lower() == TIME_ALIAS or path == self.ts

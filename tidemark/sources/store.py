@@ -65,6 +65,23 @@ def upserted(old: DataFrame, new: DataFrame, id: str = "id", ts: str = "ts") ->
     return old.join(new.select(id).distinct(), id, "left_anti").unionByName(latest(new, id, (ts,)))
 
 
+def raw_key_v1(table: str, id: Column) -> Column:
+    """The older storage key `id:table`."""
+    return F.concat_ws(":", id.cast("string"), F.lit(table))
+
+
+#: Columns that ingest adds to a document.
+METADATA = (DATE, "date", "metadata")
+
+
+def translated_back(df: DataFrame, stored_id: str = "id", public_id: str = "metadata.id", ts: str = "ts") -> DataFrame:
+    """Stored rows as the documents that came in: the public id again where one is kept, the calendar parts made anew from the time, other metadata gone."""
+    kept = [c for c in df.columns if c not in METADATA and c != stored_id]
+    has = public_id.split(".")[0] in df.columns
+    back = F.coalesce(F.col(public_id).cast("string"), F.col(f"`{stored_id}`").cast("string")) if has else F.col(f"`{stored_id}`")
+    return with_calendar(df.select(back.alias(stored_id), *(F.col(f"`{c}`") for c in kept)), ts)
+
+
 def raw_key(table: str, id: Column, ts: Column, buckets: int = 32) -> Column:
     """A sortable storage key `bucket:table:time:id`; the bucket spreads writes."""
     bucket = F.lpad(F.pmod(F.xxhash64(id), F.lit(buckets)).cast("string"), 2, "0")
@@ -103,19 +120,39 @@ def without_large_text(df: DataFrame, size: int = MAX_TEXT, share: float = 1.0,
     return rows.select(*out)
 
 
-def ingest(df: DataFrame, path: str, now_ms: int, id: str = "id", ts: str = "ts", mutators: Sequence[Mutator] = ()) -> None:
-    """Append the accepted documents to the table at `path`, a folder for each event day."""
+def ingest(df: DataFrame, path: str, now_ms: int, id: str = "id", ts: str = "ts", mutators: Sequence[Mutator] = (), file_rows: int = 5_000_000) -> None:
+    """Append the accepted documents to the table at `path`, a folder for each event day of UTC.
+
+    Rows of a day are dealt by id over as many tasks as a shuffle has, then written in files of `file_rows` rows at most.
+    """
     df = accepted(df, now_ms, id, ts)
     for m in mutators:
         df = m(df)
-    df = df.withColumn(DATE, F.to_date(F.col(ts)))
-    # Rows of a day meet in few files; the second key splits a day that holds most rows.
-    df.repartition(F.col(DATE), F.pmod(F.xxhash64(id), F.lit(8))).write.partitionBy(DATE).mode("append").parquet(path)
+    df = df.withColumn(DATE, utc_day(df, ts))
+    # AQE joins the small parts of a day into few files and splits a day that holds most rows.
+    df.hint("rebalance", DATE).write.partitionBy(DATE).option("maxRecordsPerFile", file_rows).mode("append").parquet(path)
+
+
+def utc_day(df: DataFrame, ts: str) -> Column:
+    """The day of the event time in UTC, whatever the session's zone; a time without a zone is taken as UTC."""
+    kind, c = df.schema[ts].dataType, F.col(f"`{ts}`")
+    if isinstance(kind, T.IntegralType):
+        c = F.timestamp_millis(c)
+    elif not isinstance(kind, T.TimestampType):
+        return F.to_date(c)
+    return F.date_from_unix_date(F.floor(F.unix_seconds(c) / 86400).cast("int"))
 
 
-def open_table(spark: SparkSession, path: str, name: str, id: str = "id", ts: str = "ts", **kw) -> EventTable:
-    """The stored table, latest schema of each column first; upserts are resolved by `latest`."""
-    return EventTable(spark.read.option("mergeSchema", True).parquet(path), name=name.strip().lower(), id=id, ts=ts, date=DATE, **kw)
+def open_table(spark: SparkSession, path: str, name: str, id: str = "id", ts: str = "ts", unique: bool = False, **kw) -> EventTable:
+    """The stored table, with the columns of all its files. Of rows with one id the last counts, if `unique` asks for that.
+
+    `unique` costs a shuffle of all that a request reads, and looks at the days that it reads: an id that moves to another day
+    needs `upserted` at ingest.
+    """
+    rows = spark.read.option("mergeSchema", True).parquet(path)
+    if unique:
+        rows = latest(rows, id, (ts,))
+    return EventTable(rows, name=name.strip().lower(), id=id, ts=ts, date=DATE, **kw)
 
 
 def by_id(table: EventTable, ids: Sequence) -> DataFrame:
@@ -149,11 +186,13 @@ def drop_expired(spark: SparkSession, path: str, today: date, ttl_days: int) ->
 
 
 def compact(spark: SparkSession, path: str, today: date, target_rows: int = 5_000_000) -> None:
-    """Rewrite every day but today and tomorrow in files of about `target_rows` rows."""
-    old = spark.read.parquet(path).where(F.col(DATE) < F.lit(today))
-    staged = f"{path.rstrip('/')}_compacting"
-    old.repartition(F.col(DATE)).write.option("maxRecordsPerFile", target_rows).partitionBy(DATE).mode("overwrite").parquet(staged)
-    spark.read.parquet(staged).write.option("partitionOverwriteMode", "dynamic").option("maxRecordsPerFile", target_rows).partitionBy(DATE).mode("overwrite").parquet(path)
+    """Rewrite every day but today and tomorrow in files of about `target_rows` rows.
+
+    A dynamic overwrite writes all days to a staging folder of its own and swaps each in as the job commits, so a run
+    that is lost before leaves the table as it was, and another run does it all.
+    """
+    old = spark.read.parquet(path).where(F.col(DATE) < F.lit(today)).hint("rebalance", DATE)
+    old.write.option("partitionOverwriteMode", "dynamic").option("maxRecordsPerFile", target_rows).partitionBy(DATE).mode("overwrite").parquet(path)
 
 
 def fields(table: EventTable) -> list[tuple[str, str]]:
