@@ -20,7 +20,7 @@ rep as (select rid, i from g qualify count(*) over (partition by rid, win) > 1),
 cov as (select rid, count(distinct i + k) as n from rep, range({quality_rules.WINDOW}) r(k) group by rid),
 ln as (select rid, count(*) - count(distinct l) as n from (select rid, unnest(string_split(t, chr(10))) as l from d) where regexp_matches(l, '[^ \t\n\x0B\f\r]') group by rid),
 nl as (select rid, source, text, {_LINE} as l from (select rid, source, text, unnest(string_split(text, chr(10))) as l from d)),
-nw as (select *, len(string_split(l, ' ')) as n from nl where l <> '' and len(string_split(l, ' ')) <= {quality_rules.MAX_LINE_WORDS}),
+nw as (select *, len(string_split(l, ' ')) as n from nl where l <> ''),
 freq as (select source, l from nw group by source, l having count(distinct text) > {quality_rules.MAX_TEXTS}),
 gone as (select rid, sum(n) as n from nw join freq on nw.l = freq.l and nw.source is not distinct from freq.source group by rid),
 base as (select d.rid, doc_id, len(ws) as n_words, len(array_to_string(ws, '')) as word_chars, len(w.t) - len(regexp_replace(w.t, '[#*$%&|<>]', '', 'g')) as n_symbols,

@@ -3,10 +3,9 @@
 Base statistics come from the words and lines of each text. The line rule then
 normalises every line (letters in lower case, runs of white space as one space),
 hashes it, and counts in how many different texts of the
-document's host it stands. Lines of at most `max_line_words` words above
-`max_texts` are boilerplate and are removed; a document that keeps too little is
-rejected as depleted. Exact copies count as one text, and long lines are
-left to de-duplication, so a copied article is no boilerplate.
+document's host it stands. Lines of any length above `max_texts` are boilerplate and
+are removed; a document that keeps too little is rejected as depleted. Exact copies
+count as one text, so the lines of a copied article are no boilerplate.
 
 All of it is DataFrame functions. What is shuffled are hashes and counts; the join
 of frequent lines back to documents is salted, because one line of one host may
@@ -30,7 +29,6 @@ WINDOW = 8
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
 MAX_TEXTS = 20
-MAX_LINE_WORDS = 40
 MIN_LEFT_PERCENT = 30
 SALTS = 64
 
@@ -81,7 +79,7 @@ def _keyed(docs: DataFrame, host: str) -> DataFrame:
     )
 
 
-def frequent_lines(docs: DataFrame, host: str = "source", max_texts: int = MAX_TEXTS, max_line_words: int = MAX_LINE_WORDS) -> tuple[DataFrame, DataFrame]:
+def frequent_lines(docs: DataFrame, host: str = "source", max_texts: int = MAX_TEXTS) -> tuple[DataFrame, DataFrame]:
     """(occurrences, frequent): the lines of each row, and the (host, line) pairs above the limit."""
     rows = _keyed(docs.select("doc_id", F.col(host), "text"), host)
     # Two steps inside the array, so that each line is normalised once.
@@ -89,15 +87,14 @@ def frequent_lines(docs: DataFrame, host: str = "source", max_texts: int = MAX_T
     each = F.transform(normal, lambda x, i: F.struct(F.xxhash64(x).alias("line"), (spaces(x) + 1).alias("w"), i.alias("at")))
     lines = rows.select("__k1", "__k2", "__host", F.xxhash64("text").alias("__t"), F.explode_outer(each).alias("__l")).where("__l is not null")
     lines = lines.select("__k1", "__k2", "__host", "__t", F.col("__l.line").alias("__line"), F.col("__l.w").alias("__w"), F.col("__l.at").alias("__at"))
-    lines = lines.where(F.col("__w") <= max_line_words)
     texts = lines.select("__host", "__line", "__t").distinct()
     frequent = texts.groupBy("__host", "__line").agg(F.count("*").alias("n_texts")).where(F.col("n_texts") > max_texts)
     return lines, frequent
 
 
-def _removed(docs: DataFrame, host: str, max_texts: int, max_line_words: int) -> DataFrame:
+def _removed(docs: DataFrame, host: str, max_texts: int) -> DataFrame:
     """__k1, __k2, removed_words, __gone (hashes of the lines to remove) of the rows that lose lines."""
-    lines, frequent = frequent_lines(docs, host, max_texts, max_line_words)
+    lines, frequent = frequent_lines(docs, host, max_texts)
     # The salt spreads the rows of a common line. Rows that agree in all have one key: their lines count by place, once.
     mine = lines.withColumn("__salt", F.pmod("__k1", F.lit(SALTS)).cast("int"))
     salted = frequent.select("__host", "__line", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("__salt"))
@@ -113,16 +110,16 @@ def _judged(rows: DataFrame, removed: DataFrame) -> DataFrame:
     return rows.withColumn("kept", ~F.col("base_failed") & ~depleted)
 
 
-def verdicts(docs: DataFrame, host: str = "source", max_texts: int = MAX_TEXTS, max_line_words: int = MAX_LINE_WORDS) -> DataFrame:
+def verdicts(docs: DataFrame, host: str = "source", max_texts: int = MAX_TEXTS) -> DataFrame:
     """One row a document: base statistics, base_failed, removed_words, kept."""
-    removed = _removed(docs, host, max_texts, max_line_words).drop("__gone")
+    removed = _removed(docs, host, max_texts).drop("__gone")
     rows = base_statistics(_keyed(docs.select("doc_id", F.col(host), "text"), host)).drop("text", host, "__host")
     return _judged(rows, removed).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "removed_words", "kept")
 
 
-def cleaned(docs: DataFrame, host: str = "source", max_texts: int = MAX_TEXTS, max_line_words: int = MAX_LINE_WORDS) -> DataFrame:
+def cleaned(docs: DataFrame, host: str = "source", max_texts: int = MAX_TEXTS) -> DataFrame:
     """The kept documents, without their frequent lines; all columns stay."""
-    removed = _removed(docs, host, max_texts, max_line_words)
+    removed = _removed(docs, host, max_texts)
     # The join moves each text once, in the packed row.
     rows = _judged(base_statistics(_keyed(packed(docs, host), host)).drop("text", host), removed)
     # One value of both verdicts: a filter on the base rules alone would be pushed down and compute them again.

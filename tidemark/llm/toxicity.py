@@ -191,7 +191,7 @@ def fit(docs: DataFrame, labels: DataFrame, salts: int = SALTS, per_salt: int =
                 x = [evidence(s, n, model.rate) for s, n in _segments(model, data, at)]
                 yield pa.RecordBatch.from_arrays([part.column(1), pa.array([a for a, _ in x], pa.float64()), pa.array([b for _, b in x], pa.float64())], names=["toxic", "best", "total"])
 
-    got = sample.where("half = 1").select("text", "toxic").mapInArrow(measure, "toxic int, best double, total double").orderBy("toxic", "best", "total").toArrow()
+    got = sample.where("half = 1").select("text", "toxic").mapInArrow(measure, "toxic int, best double, total double").toArrow().sort_by([(c, "ascending") for c in ("toxic", "best", "total")])
     y = got.column("toxic").to_numpy().astype(float)
     rate = marks.agg(F.avg("toxic")).first()[0]
     model.weights = _logistic(_features(got.column("best").to_numpy(), got.column("total").to_numpy()), y, np.where(y > 0, rate / max(y.mean(), 1e-9), (1 - rate) / max(1 - y.mean(), 1e-9)))
