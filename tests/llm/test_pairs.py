@@ -62,6 +62,42 @@ def test_near_duplicates_equal_brute_force(spark, docs_of):
     assert got == {d: (n, c, c == d) for d, (n, c) in components(rows).items()}
 
 
+@pytest.mark.parametrize("part", [3, 5])
+def test_members_of_a_key_in_parts(part):
+    """Every pair of different components comes out once, whatever the parts and the batches."""
+    import pyarrow as pa
+
+    rng = random.Random(part)
+    names = ["key", "low", "high", "part", "doc_id", "component", "n_shingles", "bins", "halves"]
+    rows, want = [], set()
+    for key_no, members in enumerate([1, 2, 14, 23]):
+        half = np.full(2, key_no + 1, np.uint64)
+        one, two, salt = near_dup._tables(2)
+        key = int(near_dup._key(half[one], half[two], salt).view(np.int64)[0])
+        parts = -(-members // part)
+        ids = [100 * key_no + k for k in range(members)]
+        component = {i: i // 2 for i in ids}
+        want |= {(a, b) for a in ids for b in ids if a < b and component[a] != component[b]}
+        for i in ids:
+            p = rng.randrange(parts)
+            rows += [(key, min(p, o), max(p, o), p, i, component[i], 50, bytes([7]) * near_dup.BINS, half.tobytes()) for o in range(parts)]
+    rows.sort(key=lambda r: r[:4])
+    table = pa.table({n: [r[k] for r in rows] for k, n in enumerate(names)})
+    for size in (1, 7, 1000):
+        got = [(r["a"], r["b"]) for b in near_dup._rest(iter(table.to_batches(max_chunksize=size)), 85) for r in b.to_pylist()]
+        assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_open_keys_in_parts_lose_no_link(spark, docs_of, monkeypatch):
+    monkeypatch.setattr(near_dup, "PART", 4)
+    rng = random.Random(8)
+    base = prose(rng, 60)
+    # Copies of one base with up to five edits: many of them share keys, and only some are similar.
+    rows = [(j, edited(rng, base, rng.randrange(6))) for j in range(60)]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dup.near_duplicates(docs_of(rows)).collect()}
+    assert got == components(rows)
+
+
 def test_a_large_group_makes_few_pairs(spark, docs_of):
     rng = random.Random(2)
     base = prose(rng, 150)

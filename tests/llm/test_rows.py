@@ -188,6 +188,15 @@ def test_frequent_lines_go(spark, docs_of):
     assert clean[0].text == body(0) and clean[0].n_chars == len(body(0)) and clean[0].kept == "mine" and 200 not in clean and clean[100].text == rows[30][1]
 
 
+def test_long_lines_can_be_frequent(spark, docs_of):
+    notice = " ".join(f"term{k}" for k in range(90))
+    rows = [(d, notice + "\n" + " ".join(f"own{d}x{k}" for k in range(20)), "h") for d in range(quality_rules.MAX_TEXTS + 1)]
+    rows += [(100, notice + "\n" + " ".join(f"own{k}" for k in range(90)), "h"), (101, notice + "\nmore", "other")]
+    got = {r.doc_id: (r.removed_words, r.kept) for r in quality_rules.verdicts(docs_of(rows)).collect()}
+    assert got[0] == (90, False) and got[100] == (90, True) and got[101] == (0, True)
+    assert {r.doc_id for r in quality_rules.cleaned(docs_of(rows)).collect()} == {100, 101}
+
+
 def test_quality_of_odd_rows(spark, odd, nothing):
     assert quality_rules.verdicts(odd).count() == len(ODD)
     assert quality_rules.cleaned(odd).columns == odd.columns and quality_rules.verdicts(nothing).count() == quality_rules.cleaned(nothing).count() == 0

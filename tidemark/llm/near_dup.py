@@ -47,6 +47,8 @@ RECALL = 0.9965
 ROWS, HALVES = 5, 16
 #: A one-permutation sketch: the hash space in BINS parts, of each the smallest shingle as one byte (0: none).
 BINS = 512
+#: Members of a table key in one part; a key with more of them is compared part by part, in as many tasks as it has pairs of parts.
+PART = 2048
 
 
 def shape(percent: int) -> tuple[int, int]:
@@ -160,23 +162,23 @@ def _likely(x: np.ndarray, y: np.ndarray, total: np.ndarray, percent: int = PERC
 def _rest(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     """Pairs of one key and different components that may be similar, each from the first key it shares.
 
-    Rows come sorted by key. A key's members are compared in blocks of 512, so a
-    long key costs time but a fixed amount of memory above its own rows.
+    Rows come sorted by key, low, high and part. A group of the first three holds one part of a key's
+    members (low = high), which are compared with each other, or two, which are compared across.
     """
-    held: list[pa.RecordBatch] = []
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    found: list[np.ndarray] = []
 
-    def pairs(rows: pa.Table) -> Iterator[pa.RecordBatch]:
-        key = rows.column("key").to_numpy()
-        edges = np.flatnonzero(np.diff(key)) + 1
-        ids, parts, sizes = (rows.column(c).to_numpy() for c in ("doc_id", "component", "n_shingles"))
+    def compared(rows: pa.Table, edges: np.ndarray) -> Iterator[np.ndarray]:
+        key = rows.column("key").to_numpy().view(np.uint64)
+        ids, parts, sizes, own, low, high = (rows.column(c).to_numpy() for c in ("doc_id", "component", "n_shingles", "part", "low", "high"))
         marks = np.frombuffer(b"".join(rows.column("bins").to_pylist()), np.uint8).reshape(len(key), -1)
         halves = np.frombuffer(b"".join(rows.column("halves").to_pylist()), np.uint64).reshape(len(key), -1)
-        left, right = [], []
         for a, b in zip([0, *edges], [*edges, len(key)], strict=True):
-            for i in range(a, b, 512):
-                for j in range(i, b, 512):
-                    x, y = slice(i, min(i + 512, b)), slice(j, min(j + 512, b))
+            across = low[a] != high[a]
+            middle = a + int(np.searchsorted(own[a:b], high[a])) if across else b
+            for i in range(a, middle, 512):
+                for j in range(middle if across else i, b, 512):
+                    x, y = slice(i, min(i + 512, middle)), slice(j, min(j + 512, b))
                     ok = parts[x, None] != parts[None, y]
                     small, large = np.minimum(sizes[x, None], sizes[None, y]), np.maximum(sizes[x, None], sizes[None, y])
                     ok &= 100 * small >= percent * large
@@ -186,25 +188,40 @@ def _rest(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Record
                     p, q = p[good], q[good]
                     for k in range(0, len(p), 2048):
                         u, v = p[k : k + 2048], q[k : k + 2048]
-                        close = _likely(marks[u], marks[v], sizes[u] + sizes[v], percent) & (_first_shared(halves[u], halves[v]) == key[u].view(np.uint64))
-                        left.append(ids[u][close])
-                        right.append(ids[v][close])
-        if left:
-            one, two = np.concatenate(left), np.concatenate(right)
-            found = np.unique(np.stack([np.minimum(one, two), np.maximum(one, two)]), axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(found[0]), pa.array(found[1])], schema=schema)
+                        close = _likely(marks[u], marks[v], sizes[u] + sizes[v], percent) & (_first_shared(halves[u], halves[v]) == key[u])
+                        one, two = ids[u][close], ids[v][close]
+                        yield np.stack([np.minimum(one, two), np.maximum(one, two)])
+
+    def flushed(least: int) -> Iterator[pa.RecordBatch]:
+        if sum(x.shape[1] for x in found) >= least:
+            one, two = np.concatenate(found, axis=1)
+            found.clear()
+            yield pa.RecordBatch.from_arrays([pa.array(one), pa.array(two)], schema=schema)
 
+    def changes(rows: pa.RecordBatch | pa.Table) -> np.ndarray:
+        return np.flatnonzero(np.any([np.diff(rows.column(c).to_numpy()) for c in ("key", "low", "high")], axis=0)) + 1
+
+    held: list[pa.RecordBatch] = []
     for batch in batches:
         if not batch.num_rows:
             continue
-        key = batch.column(0).to_numpy()
-        cut = int(np.searchsorted(key, key[-1]))  # the last key may go on in the next batch
-        if cut or (held and held[-1].column(0)[-1].as_py() != key[0]):
-            yield from pairs(pa.Table.from_batches([*held, batch.slice(0, cut)]))
-            held = []
-        held.append(batch.slice(cut))
+        held.append(batch)
+        edges = changes(pa.Table.from_batches([x.slice(x.num_rows - 1) for x in held[-2:-1]] + [batch]))
+        if not len(edges):
+            continue  # one group so far
+        rows = pa.Table.from_batches(held)
+        edges = changes(rows)
+        # The last group may go on in the next batch.
+        for pairs in compared(rows.slice(0, edges[-1]), edges[:-1]):
+            found.append(pairs)
+            yield from flushed(1 << 16)
+        held = rows.slice(edges[-1]).combine_chunks().to_batches()
     if held:
-        yield from pairs(pa.Table.from_batches(held))
+        rows = pa.Table.from_batches(held)
+        for pairs in compared(rows, changes(rows)):
+            found.append(pairs)
+            yield from flushed(1 << 16)
+    yield from flushed(1)
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -276,9 +293,16 @@ def _placed(rows: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
     links = _confirmed(star, sets, percent)
     first = stored(components(links))
     placed = found.join(first, "doc_id", "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("component"))
-    open_keys = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("key")
-    rest = placed.join(open_keys, "key", "left_semi").join(distinct.select("doc_id", "n_shingles", "bins", "halves"), "doc_id")
-    pairs = rest.select("key", "doc_id", "component", "n_shingles", "bins", "halves").repartition(n, "key").sortWithinPartitions("key").mapInArrow(_given(_rest, percent), "a long, b long").distinct()
+    open_keys = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n")).where("low != high")
+    # The members of a key are dealt in parts, and each two parts meet in a group of their own.
+    parts = open_keys.select("key", F.ceil(F.col("n") / PART).cast("int").alias("parts"))
+    dealt = placed.join(parts, "key").withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit("part")), F.col("parts")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    rest = dealt.select("key", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "part", "doc_id", "component")
+    rest = rest.join(distinct.select("doc_id", "n_shingles", "bins", "halves"), "doc_id")
+    group = ["key", "low", "high"]
+    rest = rest.select(*group, "part", "doc_id", "component", "n_shingles", "bins", "halves").repartition(n, *group).sortWithinPartitions(*group, "part")
+    pairs = rest.mapInArrow(_given(_rest, percent), "a long, b long").distinct()
     more = _confirmed(pairs, sets, percent)
     groups = components(links.union(more))
     placed = distinct.join(groups, "doc_id", "left").select("set_low", "set_high", F.coalesce("component", "doc_id").alias("component"))
