@@ -145,6 +145,42 @@ def test_arrays_and_shapes(spark):
     assert nested(run(table, "group", nesting=["s.t.u"]), ["s_t_u"], "count") == {"x": 1, "y": 1}
     assert flat(df).columns == ["id", "ts", "tags", "s.n", "s.t.u"]
     assert text_grid(df.select("id")).splitlines()[1] == "| id |"
+    assert text_grid(df.select("id"), 2).splitlines()[-1] == "(the first 2 rows)" and text_grid(df.select("id"), 3)[-1] == "+"
+
+
+def test_query_strings(spark):
+    df = spark.createDataFrame([(1, 1, "android", ["a", "b"]), (2, 2, "ios 12", ["b"]), (3, 3, None, None), (4, 4, "a*d\nx", [])], "id long, ts long, os string, tags array<string>")
+    table = EventTable(df, id="id")
+    got = lambda field, value: sorted(r.id for r in run(table, "query", now=10, filters=[{"operator": "contains", "field": field, "value": value}]).collect())
+    assert got("os", "*droid*") == [1] and got("os", "android OR ios 12") == [1, 2] and got("os", "a* AND *d") == [1]
+    assert got("os", "a*x") == [4] and got("os", '"a*d"') == [] and got("os", "android OR") == [1]
+    assert got("os", "NOT android") == [2, 3, 4] and got("os", "NOT NOT android") == [1]
+    assert got("tags", "a AND b") == [1] and got("tags", "b AND NOT a") == [2] and got("os", "OR") == []
+
+
+def test_ratio_expressions(spark):
+    df = spark.createDataFrame([(k, 1000 * k, t) for k, t in enumerate("aaab")], "id long, ts long, kind string")
+    p = A.prepare(EventTable(df, id="id"), {"opcode": "trend", "now": 10_000, "field": "kind", "period": "days"})
+    share = lambda up, down: A.ratio(p, up, down).first().ratio
+    assert share("b", "a + b") == 25.0 and share("a", "b - b") == 0.0 and share("( a - 1 ) / ( b + 1 )", "2 * b") == 50.0 and share("a / c", "b") == 0.0
+    for bad in ("( a + b", "a + b )"):
+        with pytest.raises(RequestError):
+            A.arithmetic(bad)
+
+
+def test_observers(sparse):
+    class Names(A.Observer):
+        seen = []
+
+        def before(self, request):
+            self.seen.append(request["opcode"])
+
+    counts = A.RowCounts()
+    df = A.run(sparse, {"opcode": "query", "now": NOW, "limit": 3}, [Names(), counts])
+    assert Names.seen == ["query"] and len(df.collect()) == counts.counts[0].get["rows"]
+    with pytest.raises(RequestError):
+        A.run(sparse, {"opcode": "query", "limit": 0}, [Names()])
+    assert Names.seen == ["query", "query"]
 
 
 def test_long_gaps_are_filled(spark):

@@ -1,5 +1,6 @@
 """Tables on disk, field statistics and the guard, streams."""
 
+from dataclasses import replace
 from datetime import date
 
 import pytest
@@ -10,7 +11,7 @@ from tidemark.operators.analytics import run
 from tidemark.operators.responses import write_csv
 from tidemark.plans import guard
 from tidemark.plans.guard import FieldStats
-from tidemark.sources import store
+from tidemark.sources import store, tables
 from tidemark.sources.events import EventTable, json_events
 from tidemark.streaming.live import accepted_stream, ingest_stream, live_trend
 
@@ -112,6 +113,23 @@ def test_documents_back(spark, some):
     assert spark.range(1).select(store.raw_key_v1("t", F.col("id")).alias("k")).first().k == "0:t"
 
 
+def test_tables(spark, some, tmp_path):
+    info = tables.TableInfo(" Clicks_1 ", str(tmp_path / "it's"), 2)
+    tables.create(spark, info)
+    try:
+        store.ingest(some, info.path, NOW)
+        assert tables.get(spark, "clicks_1").ttl_days == 2 and [i.key for i in tables.all_tables(spark)] == ["clicks_1"]
+        assert store.retained(tables.opened(spark, "CLICKS_1"), NOW).count() == 20
+        tables.update(spark, replace(info, ttl_days=9))
+        assert tables.opened(spark, "clicks_1").ttl_days == 9
+        for wrong in (lambda: tables.create(spark, info), lambda: tables.update(spark, replace(info, path="/x")), lambda: tables.get(spark, "none"), lambda: tables.create(spark, replace(info, name=" ")), lambda: tables.update(spark, replace(info, ttl_days=0))):
+            with pytest.raises(tables.TableError):
+                wrong()
+    finally:
+        spark.sql("drop table clicks_1")
+    assert spark.read.parquet(info.path).count() == 40
+
+
 def test_csv(spark, tmp_path):
     write_csv(spark.createDataFrame([('a"b', None, (1,))], "x string, y string, z struct<k: int>"), str(tmp_path / "c"))
     lines = {line for p in (tmp_path / "c").glob("*.csv") for line in p.read_text().splitlines()}  # each file has the header

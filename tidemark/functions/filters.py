@@ -79,7 +79,56 @@ class Filter:
 
 def _pattern(text: str) -> str:
     """A regular expression for `*` (any run) and `?` (one character)."""
-    return "^" + "".join(".*" if c == "*" else "." if c == "?" else re.escape(c) for c in text) + "$"
+    return r"(?s)\A" + "".join(".*" if c == "*" else "." if c == "?" else re.escape(c) for c in text) + r"\z"
+
+
+#: Parts of a query string: a quoted phrase, or what stands between spaces.
+_PART = re.compile(r'"([^"]*)"|(\S+)')
+
+
+@dataclass(frozen=True)
+class Term:
+    text: str
+    wild: bool
+    negated: bool = False
+
+    def test(self, c: Column) -> Column:
+        return c.cast("string").rlike(_pattern(self.text)) if self.wild else c.cast("string") == self.text
+
+
+def query_string(text: str) -> list[list[Term]]:
+    """The alternatives of a `contains` value, each a list of terms that must all hold.
+
+    AND binds closer than OR, NOT belongs to the term after it. What stands between these words is one term for the
+    whole value of a field, with `*` and `?`; in quotes it is taken as written. A value of operators alone is a term.
+    """
+    groups: list[list[Term]] = [[]]
+    words: list[str] = []
+    quoted = negated = False
+
+    def close() -> None:
+        nonlocal words, quoted, negated
+        if words:
+            term = " ".join(words)
+            groups[-1].append(Term(term, not quoted and bool(re.search(r"[*?]", term)), negated))
+            words, quoted, negated = [], False, False
+
+    for m in _PART.finditer(text):
+        phrase, word = m.group(1), m.group(2)
+        if phrase is None and word in ("AND", "OR", "NOT"):
+            close()
+            if word == "OR" and groups[-1]:
+                groups.append([])
+            negated = negated ^ (word == "NOT")
+        else:
+            if phrase is not None:
+                close()
+            words, quoted = [*words, word if phrase is None else phrase], phrase is not None
+            if phrase is not None:
+                close()
+    close()
+    groups = [g for g in groups if g]
+    return groups or [[Term(text, False)]]
 
 
 def column(f: Filter, table: EventTable, now_ms: int) -> Column:
@@ -94,6 +143,10 @@ def column(f: Filter, table: EventTable, now_ms: int) -> Column:
     if f.operator in ("not_equals", "not_in"):
         positive = Filter("equals" if f.operator == "not_equals" else "in", f.field, f.value, f.values)
         return ~F.coalesce(column(positive, table, now_ms), F.lit(False))
+    if f.operator == "contains":
+        held = lambda t: F.coalesce(F.exists(c, t.test) if isinstance(kind, T.ArrayType) else t.test(c), F.lit(False))
+        every = ([~held(t) if t.negated else held(t) for t in g] for g in query_string(str(f.value)))
+        return reduce(lambda a, b: a | b, (reduce(lambda a, b: a & b, g) for g in every))
     time = table.is_time(f.field) and not isinstance(kind, T.NumericType)
     json = kind is not None and f.field not in table.df.columns and "." in f.field and isinstance(kind, T.StringType)
 
@@ -124,9 +177,6 @@ def column(f: Filter, table: EventTable, now_ms: int) -> Column:
             case "last":
                 low, high = f.bounds(now_ms)
                 return x.between(literal(low), literal(high))
-            case "contains":
-                text = str(f.value)
-                return x.cast("string").rlike(_pattern(text)) if re.search(r"[*?]", text) else x.cast("string") == text
             case "wildcard":
                 text = str(f.value)
                 if re.search(r"[*?]", text):

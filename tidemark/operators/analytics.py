@@ -8,10 +8,11 @@ from __future__ import annotations
 
 import base64
 import json
+import re
 from collections.abc import Callable, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -33,9 +34,40 @@ def action(opcode: str):
     return add
 
 
-def run(table: EventTable, request: dict) -> DataFrame:
+class Observer:
+    """Sees each request before it is planned, and its result before anybody runs it.
+
+    `after` may return the DataFrame with an `Observation` or a hint on it; what it returns is what the caller gets.
+    """
+
+    def before(self, request: dict) -> None: ...
+
+    def after(self, request: dict, df: DataFrame) -> DataFrame | None: ...
+
+
+class RowCounts(Observer):
+    """Counts the rows of results as they are produced; `counts[k].get` waits for the k-th to be run."""
+
+    def __init__(self) -> None:
+        self.counts: list[Observation] = []
+
+    def after(self, request: dict, df: DataFrame) -> DataFrame:
+        self.counts.append(Observation())
+        return df.observe(self.counts[-1], F.count(F.lit(1)).alias("rows"))
+
+
+def run(table: EventTable, request: dict, observers: Sequence[Observer] = ()) -> DataFrame:
     """The DataFrame of a request; nothing is executed but what planning itself needs."""
-    return ACTIONS[request.get("opcode")](prepare(table, request)) if request.get("opcode") in ACTIONS else prepare(table, request)
+    for o in observers:
+        o.before(request)
+    p = prepare(table, request)
+    if request["opcode"] not in ACTIONS:
+        raise RequestError([f"{request['opcode']} gives no single DataFrame"])
+    df = ACTIONS[request["opcode"]](p)
+    for o in observers:
+        seen = o.after(request, df)
+        df = df if seen is None else seen
+    return df
 
 
 def key_string(table: EventTable, path: str, c: Column) -> Column:
@@ -136,8 +168,10 @@ def _capped(df: DataFrame, names: Sequence[str], cap: int | None) -> DataFrame:
     """At most `cap` keys a level under each parent, the first in key order; no cap unless asked for."""
     if not cap:
         return df
-    for i, n in enumerate(names):
-        level = Window.partitionBy(*names[:i]).orderBy(n) if i else Window.orderBy(n)
+    # The first level has no parent to part it by: its keys are taken from the distinct ones, in order.
+    df = df.join(df.select(names[0]).distinct().orderBy(names[0]).limit(cap), names[0], "left_semi")
+    for i, n in enumerate(names[1:], 1):
+        level = Window.partitionBy(*names[:i]).orderBy(n)
         df = df.withColumn("__rank", F.dense_rank().over(level)).where(F.col("__rank") <= cap).drop("__rank")
     return df
 
@@ -301,10 +335,42 @@ def multi_time_query(table: EventTable, request: dict) -> DataFrame:
     return reduce(lambda x, y: x.unionByName(y), out)
 
 
+def arithmetic(text: str) -> tuple[Column, list[str]]:
+    """A space-separated expression over series and numbers, and the series it names; a missing value counts as 0.
+
+    What is divided by nothing is null. A text without an operator is the name of one series, spaces and all.
+    """
+    tokens = text.split()
+    if not {"+", "-", "*", "/", "(", ")"} & set(tokens):
+        tokens = [text]
+    names, out, guarded = [], [], []
+    for k, t in enumerate(tokens):
+        divisor = k > 0 and tokens[k - 1] == "/"
+        if t == "(":
+            guarded.append(divisor)
+            out.append("nullif((" if divisor else "(")
+        elif t == ")":
+            if not guarded:
+                raise RequestError([f"ratio: {text}: a bracket is closed that was not opened"])
+            out.append("), 0D)" if guarded.pop() else ")")
+        elif t in ("+", "-", "*", "/"):
+            out.append(t)
+        else:
+            number = len(tokens) > 1 and re.fullmatch(r"\d+(\.\d+)?", t)
+            if not number:
+                names.append(t)
+            value = f"{t}D" if number else f"coalesce(cast(`{t.replace('`', '``')}` as double), 0D)"
+            out.append(f"nullif({value}, 0D)" if divisor else value)
+    if guarded:
+        raise RequestError([f"ratio: {text}: a bracket is open"])
+    return F.expr(" ".join(out)), list(dict.fromkeys(names))
+
+
 def ratio(p: Prepared, numerator: str, denominator: str) -> DataFrame:
-    """Percentage of one term's trend in another's; 0 where there is nothing to divide by."""
-    wide = trend_pivot(p, [numerator, denominator])
-    value = F.coalesce(F.try_divide(F.col(numerator) * 100.0, F.col(denominator)), F.lit(0.0))
+    """Percentage of one series of a trend in another, each a term or an expression over terms; 0 where there is nothing to divide by."""
+    (up, above), (down, under) = arithmetic(numerator), arithmetic(denominator)
+    wide = trend_pivot(p, list(dict.fromkeys([*above, *under])))
+    value = F.coalesce(F.try_divide(up * 100.0, down), F.lit(0.0))
     return wide.select("period", value.alias("ratio"))
 
 
@@ -326,4 +392,4 @@ def period_over_period(table: EventTable, request: dict, shift: str, series: int
     return reduce(lambda x, y: x.unionByName(y), out)
 
 
-__all__ = ["ACTIONS", "RequestError", "action", "run"]
+__all__ = ["ACTIONS", "Observer", "RequestError", "RowCounts", "action", "run"]

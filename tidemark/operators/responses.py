@@ -57,10 +57,12 @@ def write_csv(df: DataFrame, path: str) -> None:
 
 
 def text_grid(df: DataFrame, rows: int = 1000) -> str:
-    """A right-aligned grid of the first `rows` rows."""
+    """A right-aligned grid of the first `rows` rows; a last line says so where there are more."""
     df = flat(df)
-    found = [["" if v is None else str(v) for v in r] for r in df.limit(rows).collect()]
+    found = [["" if v is None else str(v) for v in r] for r in df.limit(rows + 1).collect()]
+    more = [f"(the first {rows} rows)"] if len(found) > rows else []
+    found = found[:rows]
     widths = [max(len(x) for x in column) for column in zip(df.columns, *found, strict=True)]
     line = "+" + "+".join("-" * (w + 2) for w in widths) + "+"
     show = lambda values: "|" + "|".join(f" {v:>{w}} " for v, w in zip(values, widths, strict=True)) + "|"
-    return "\n".join([line, show(df.columns), line, *map(show, found), line])
+    return "\n".join([line, show(df.columns), line, *map(show, found), line, *more])

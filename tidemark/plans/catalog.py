@@ -73,6 +73,7 @@ for _name, _filter, _where in [
     ("between", {"operator": "between", "field": "amount", "from": 20, "to": 60}, "amount between 20 and 60"),
     ("last", {"operator": "last", "duration": "36h", "currentTime": NOW - 5 * DAY, "roundingMode": "floor"}, f"epoch_us(ts) between 1000 * ({NOW - 5 * DAY - 36 * 3600000}) and 1000 * ({NOW - 5 * DAY})"),
     ("contains", {"operator": "contains", "field": "kind", "value": "*ur?ha*"}, "kind like '%ur_ha%'"),
+    ("contains_terms", {"operator": "contains", "field": "kind", "value": 'NOT view AND *r* OR "sig?up" OR signup'}, "((kind is distinct from 'view' and kind like '%r%') or kind = 'sig?up' or kind = 'signup')"),
     ("wildcard", {"operator": "wildcard", "field": "kind", "value": "s"}, "kind like 's%'"),
     ("json_path", {"operator": "greater_than", "field": "props.k", "value": 90}, "cast(props->>'$.k' as double) > 90"),
     ("time_between", {"operator": "between", "field": "_timestamp", "temporal": True, "from": NOW - 9 * DAY, "to": NOW - 7 * DAY}, f"epoch_us(ts) between 1000 * ({NOW - 9 * DAY}) and 1000 * ({NOW - 7 * DAY})"),
@@ -184,6 +185,12 @@ _TIMES_SQL = f"(select {NOW - 3 * DAY} - k * {DAY} as a, {NOW - 3 * DAY + 720000
 register("multi_time_query", lambda s, d: A.multi_time_query(events(s, d), {**_TIMES, "now": NOW}), f'select a as window_start, kind, count(*) as "count" from {EV} join {_TIMES_SQL} on epoch_us(ts) between 1000 * a and 1000 * b where kind is not null group by 1, 2')
 register("multi_time_stats", lambda s, d: rounded(A.multi_time_query(events(s, d), {**_TIMES, "now": NOW, "actionRequest": {"opcode": "stats", "field": "amount", "stats": ["avg"], "flags": ["STATS_SKIP_PERCENTILES"], "filters": _HOUR}})), f'select a as window_start, round(avg(amount), 4) as "avg" from {_TIMES_SQL} left join {EV} on epoch_us(ts) between 1000 * a and 1000 * b group by 1')
 register("ratio_trend", lambda s, d: rounded(A.ratio(prepare(events(s, d), {"opcode": "trend", "now": NOW, "field": "kind", "period": "days", "filters": _WEEK}), "error", "view")), f"select epoch_ms(date_trunc('day', ts)) as period, round(coalesce(count(*) filter (kind = 'error') * 100.0 / nullif(count(*) filter (kind = 'view'), 0), 0), 4) as ratio from {EV} where kind is not null and {_WEEK_SQL} group by 1")
+register(
+    "ratio_expression",
+    lambda s, d: rounded(A.ratio(prepare(events(s, d), {"opcode": "trend", "now": NOW, "field": "kind", "period": "days", "filters": _WEEK}), "( error + 2 * purchase ) / signup", "view + error")),
+    f"""with t as (select date_trunc('day', ts) as t, count(*) filter (kind = 'error') as e, count(*) filter (kind = 'purchase') as p, count(*) filter (kind = 'signup') as s, count(*) filter (kind = 'view') as v from {EV} where kind is not null and {_WEEK_SQL} group by 1)
+        select epoch_ms(t) as period, round(coalesce((e + 2 * p) / nullif(s, 0) * 100.0 / nullif(v + e, 0), 0), 4) as ratio from t""",
+)
 register("percentage_gauge", lambda s, d: rounded(A.gauge(prepare(events(s, d), {"opcode": "count", "now": NOW}), "kind", ["error"], ["view", "error"])), f"select round(count(*) filter (kind = 'error') * 100.0 / count(*) filter (kind in ('view', 'error')), 4) as percentage from {EV} where {PAST}")
 register("period_over_period", lambda s, d: A.period_over_period(events(s, d), {"opcode": "histogram", "now": NOW - DAY, "period": "hours"}, "1d", 3).withColumn("series", F.col("series").cast("long")), " union all ".join(f"select *, cast({k} as bigint) as series from ({_grid('hours', 'count(*)', f'epoch_us(ts) between 1000 * ({NOW - DAY - k * DAY - DAY}) and 1000 * ({NOW - DAY - k * DAY})')})" for k in range(3)))
 
