@@ -244,6 +244,30 @@ def test_the_ledger_scans_only_what_is_new(spark, docs_of):
     assert sum(len(r.found) for r in secrets.findings(second, ledger.unionAll(more).unionAll(again), raised).collect()) == 1
 
 
+def test_a_ledger_in_a_folder(spark, tmp_path):
+    path = str(tmp_path / "ledger")
+    day1 = [("a.txt", 1, "token=abcdefgh1"), ("b.txt", 1, "nothing"), ("a.txt", 2, None)]
+    day2 = [*day1, ("c.txt", 2, "token=abcdefgh1"), ("b.txt", 2, "redis://:pass@host"), ("b.txt", 2, "redis://:pass@host")]
+    of = lambda rows: spark.createDataFrame(rows, "path string, version int, text string").withColumn("blob", F.lit("other"))
+    assert secrets.record(of(day1), path).count() == 3 * len(secrets.RULES)
+    assert secrets.record(of(day1), path).count() == 3 * len(secrets.RULES)
+    ledger = secrets.record(of(day2), path)
+    assert ledger.count() == 4 * len(secrets.RULES)
+    got = sorted((r.path, r.version, [(s.kind, s.start, s.end) for s in r.found]) for r in secrets.findings(of(day2), ledger, keys=("path", "version")).collect())
+    assign, login = [("assign", 0, 15)], [("url_login", 5, 14)]
+    assert got == [("a.txt", 1, assign), ("a.txt", 2, []), ("b.txt", 1, []), ("b.txt", 2, login), ("b.txt", 2, login), ("c.txt", 2, assign)]
+
+
+def test_a_text_full_of_secrets(spark, docs_of):
+    n = 2 * secrets.BLOCK + 5
+    text = "é " + "token=abcdefgh " * n + "https://" + "u" * 300 + ":" + "p" * 900 + "@h"
+    row = secrets.digest(docs_of([(1, text)])).first()
+    want = [f"assign:{2 + 15 * k}:{16 + 15 * k}" for k in range(n)]
+    end = text.index("https") + 5
+    assert row.n_assign == n and row.spans.split(",") == [*want, f"url_login:{end}:{len(text) - 1}"]
+    assert row.base_sha256 == hashlib.sha256(",".join(want).encode()).hexdigest()
+
+
 def test_secrets_of_odd_rows(spark, odd, nothing):
     assert secrets.digest(odd).count() == len(ODD) and secrets.digest(nothing).count() == 0
 

@@ -19,15 +19,22 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import stored
+
 #: A private-use character that wraps matches; in texts it stands for another of that block first.
 _MARK, _OTHER = "\ue000", "\ue001"
 
 
 #: Groups over which the versions of one blob are spread.
 SALTS = 32
+#: Spans that are gathered before they are laid aside: adding one copies no more than these.
+BLOCK = 1000
+_SPANS = "array<struct<kind: string, start: int, end: int>>"
+LEDGER = f"blob string, kind string, version int, found {_SPANS}"
 
 
 @dataclass(frozen=True)
@@ -47,7 +54,7 @@ ACCESS = Rule("access", 1, r"AKIA[A-Z0-9]+", 0, 16)
 HEX = Rule("hex", 1, r"[0-9a-f]+", 0, 32)
 #: Spans that the method adds: key blocks, credentials in addresses, signed web tokens.
 KEY_BLOCK = Rule("key_block", 1, r"-----BEGIN [A-Z ]*PRIVATE KEY-----")
-URL_LOGIN = Rule("url_login", 1, r"[A-Za-z][A-Za-z0-9+.-]{1,15}://[^\s/:@]{1,64}:[^\s/@]{3,128}@")
+URL_LOGIN = Rule("url_login", 2, r"://[^\x20\x09-\x0D/:@]*:[^\x20\x09-\x0D/@]{3,}@")
 WEB_TOKEN = Rule("web_token", 1, r"eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}")
 BASE_RULES = (ASSIGN, ACCESS, HEX)
 RULES = (*BASE_RULES, KEY_BLOCK, URL_LOGIN, WEB_TOKEN)
@@ -58,7 +65,7 @@ _HINTS = {
     "access": "AKIA[A-Z0-9]{12}",
     "hex": "[0-9a-f]{32}",
     "key_block": "PRIVATE KEY-----",
-    "url_login": "://[^\\s/:@]{1,64}:",
+    "url_login": r"://[^\x20\x09-\x0D/:@]*:",
     "web_token": r"eyJ[A-Za-z0-9_-]{10,}\.",
 }
 
@@ -68,17 +75,18 @@ def spans(text: Column, rule: Rule) -> Column:
     marked = F.regexp_replace(F.translate(text, _MARK, _OTHER), rule.pattern, f"{_MARK}$0{_MARK}")
     parts = F.split(marked, _MARK)
     # Parts alternate between what lies outside and inside of matches.
-    zero = F.struct(F.lit(0).alias("at"), F.lit(0).alias("k"), F.array().cast("array<struct<kind: string, start: int, end: int>>").alias("found"))
+    long = lambda part: F.length(F.regexp_extract(part, rule.pattern, rule.group) if rule.group else part) >= rule.least
+    sized = F.transform(parts, lambda part, i: F.struct(F.length(part).alias("n"), ((i % 2 == 1) & (long(part) if rule.least else F.lit(True))).alias("hit")))
+    zero = F.struct(F.lit(0).alias("at"), F.array().cast(_SPANS).alias("open"), F.array().cast(f"array<{_SPANS}>").alias("done"))
 
     def step(state: Column, part: Column) -> Column:
-        end = state["at"] + F.length(part)
-        inside = state["k"] % 2 == 1
-        if rule.least:
-            inside = inside & (F.length(F.regexp_extract(part, rule.pattern, rule.group) if rule.group else part) >= rule.least)
+        end = state["at"] + part["n"]
         one = F.array(F.struct(F.lit(rule.kind).alias("kind"), state["at"].alias("start"), end.alias("end")))
-        return F.struct(end.alias("at"), (state["k"] + 1).alias("k"), F.when(inside, F.concat(state["found"], one)).otherwise(state["found"]).alias("found"))
+        full = part["hit"] & (F.size(state["open"]) >= BLOCK)
+        opened = F.when(full, one).when(part["hit"], F.concat(state["open"], one)).otherwise(state["open"])
+        return F.struct(end.alias("at"), opened.alias("open"), F.when(full, F.concat(state["done"], F.array(state["open"]))).otherwise(state["done"]).alias("done"))
 
-    found = F.aggregate(parts, zero, step)["found"]
+    found = F.aggregate(sized, zero, step, lambda state: F.flatten(F.concat(state["done"], F.array(state["open"]))))
     hint = _HINTS.get(rule.kind)
     return F.when(F.lit(True) if hint is None else text.rlike(hint), found)
 
@@ -100,14 +108,34 @@ def scan(versions: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule
     else:
         blobs = blobs.dropDuplicates(["blob"]).withColumn("seen", F.lit(None).cast("array<string>"))
     due = {r.kind: ~F.coalesce(F.array_contains("seen", f"{r.kind}/{r.version}"), F.lit(False)) for r in rules}
-    done = F.array(*(F.when(due[k], F.struct(F.lit(k).alias("kind"), F.lit(r.version).alias("version"), F.coalesce(spans(F.col("text"), r), F.array().cast("array<struct<kind: string, start: int, end: int>>")).alias("found"))) for k, r in kinds.items()))
+    done = F.array(*(F.when(due[k], F.struct(F.lit(k).alias("kind"), F.lit(r.version).alias("version"), F.coalesce(spans(F.col("text"), r), F.array().cast(_SPANS)).alias("found"))) for k, r in kinds.items()))
     return blobs.select("blob", F.explode_outer(F.filter(done, lambda x: x.isNotNull())).alias("r")).where("r is not null").select("blob", "r.kind", "r.version", "r.found")
 
 
-def findings(versions: DataFrame, scanned: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """doc_id, blob, found (all spans in order of start, then kind as listed) of every version.
+def open_ledger(spark: SparkSession, path: str) -> DataFrame:
+    """The ledger in the folder `path`; empty before the first `record`."""
+    try:
+        return spark.read.schema(LEDGER).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], LEDGER)
+
+
+def record(versions: DataFrame, path: str, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """Append what `versions` has unseen to the ledger at `path`, and give the whole ledger.
+
+    `path` is a folder that all executors share. One append is one commit: a run that is lost leaves the ledger as it was.
+    """
+    spark = versions.sparkSession
+    scan(versions, open_ledger(spark, path), rules).write.mode("append").parquet(path)
+    return open_ledger(spark, path)
+
+
+def findings(versions: DataFrame, scanned: DataFrame, rules: tuple[Rule, ...] = RULES, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """`keys`, blob, found (all spans in order of start, then kind as listed) of every version.
 
-    `scanned` is the whole ledger; only present versions of `rules` count.
+    `keys` are what names a version: a path and a commit, say. `scanned` is the whole ledger; only present versions of `rules` count.
     """
     order = {r.kind: k for k, r in enumerate(rules)}
     current = F.lit(False)
@@ -118,9 +146,9 @@ def findings(versions: DataFrame, scanned: DataFrame, rules: tuple[Rule, ...] =
     hits = hits.groupBy("blob").agg(F.array_sort(F.collect_set("s")).alias("found"))
     # Many versions may hold one blob: the salt spreads them, and only blobs with findings are repeated.
     hits = hits.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    rows = versions.select("doc_id", address(F.col("text")).alias("blob")).withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+    rows = versions.select(F.struct(*keys).alias("key"), address(F.col("text")).alias("blob")).withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int"))
     nothing = F.array().cast("array<struct<start: int, rank: int, end: int, kind: string>>")
-    return rows.join(hits, ["blob", "salt"], "left").select("doc_id", "blob", F.coalesce("found", nothing).alias("found"))
+    return rows.join(hits, ["blob", "salt"], "left").select(*(F.col(f"key.`{k}`") for k in keys), "blob", F.coalesce("found", nothing).alias("found"))
 
 
 def joined(found: Column) -> Column:
@@ -128,9 +156,11 @@ def joined(found: Column) -> Column:
     return F.array_join(F.transform(found, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def digest(versions: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """doc_id, n_assign, n_access, n_hex, base_sha256, spans of every row."""
-    all_found = findings(versions, scan(versions, None, rules), rules)
+def digest(versions: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """doc_id, n_assign, n_access, n_hex, base_sha256, spans of every row; `ledger` has what `record` gave, else a new one is made and stored."""
+    if ledger is None:
+        ledger = stored(scan(versions, None, rules))
+    all_found = findings(versions, ledger, rules)
     count = lambda kind: F.size(F.filter("found", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     base = F.filter("found", lambda s: s["kind"].isin([r.kind for r in BASE_RULES]))
     return all_found.select("doc_id", *(count(r.kind) for r in BASE_RULES), F.sha2(joined(base).cast("binary"), 256).alias("base_sha256"), joined(F.col("found")).alias("spans"))
