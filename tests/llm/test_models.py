@@ -96,6 +96,8 @@ def test_windows_cover_every_byte():
     codes, rows, sizes = language_id.windows_of(data, np.array([0, 0, 300, 1000]))
     assert sizes.sum() == 1000 and rows.tolist() == [1, 1, 2, 2, 2]
     assert np.concatenate([c[:s] for c, s in zip(codes, sizes, strict=True)]).tolist() == (data.astype(int) + 1).tolist()
+    parts = list(language_id.window_batches(data, np.array([0, 0, 300, 1000]), 2))
+    assert [len(c) for c, _, _ in parts] == [2, 2, 1] and all((np.concatenate(x) == y).all() for x, y in zip(zip(*parts, strict=True), (codes, rows, sizes), strict=True))
 
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body>

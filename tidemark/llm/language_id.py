@@ -81,16 +81,22 @@ class Net:
         return z - np.log(np.exp(z).sum(axis=1, keepdims=True))
 
 
-def windows_of(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(codes, rows, sizes): all bytes of all rows as windows of WINDOW codes; a code is the byte + 1, 0 pads."""
+def window_batches(data: np.ndarray, at: np.ndarray, batch: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(codes, rows, sizes): all bytes of all rows as windows of WINDOW codes, `batch` at a time; a code is the byte + 1, 0 pads."""
     counts = -(-np.diff(at) // WINDOW)
     rows = np.repeat(np.arange(len(counts)), counts)
     start = at[:-1][rows] + WINDOW * (np.arange(len(rows)) - np.repeat(np.cumsum(counts) - counts, counts))
     sizes = np.minimum(WINDOW, at[1:][rows] - start)
     padded = np.concatenate([data, np.zeros(WINDOW, np.uint8)])
-    codes = padded[start[:, None] + np.arange(WINDOW)].astype(np.int16) + 1
-    codes[np.arange(WINDOW) >= sizes[:, None]] = 0
-    return codes, rows, sizes
+    for k in range(0, max(1, len(rows)), batch):
+        codes = padded[start[k : k + batch, None] + np.arange(WINDOW)].astype(np.int16) + 1
+        codes[np.arange(WINDOW) >= sizes[k : k + batch, None]] = 0
+        yield codes, rows[k : k + batch], sizes[k : k + batch]
+
+
+def windows_of(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All windows at once, for few texts."""
+    return next(window_batches(data, at, len(data) + 1))
 
 
 def train(texts: list[str], labels: list[str], epochs: int = 8, seed: int = 5) -> Net:
@@ -167,11 +173,9 @@ def identify(docs: DataFrame, net: Net | None) -> DataFrame:
                 total = np.zeros((n, len(net.languages))) if net else np.zeros((n, 1))
                 weight = np.zeros(n)
                 if net and len(data):
-                    whole, rows, sizes = windows_of(data, at)
-                    for k in range(0, len(rows), BATCH):
-                        logs = net.log_probabilities(whole[k : k + BATCH])
-                        np.add.at(total, rows[k : k + BATCH], logs * sizes[k : k + BATCH, None])
-                        np.add.at(weight, rows[k : k + BATCH], sizes[k : k + BATCH])
+                    for codes, rows, sizes in window_batches(data, at, BATCH):
+                        np.add.at(total, rows, net.log_probabilities(codes) * sizes[:, None])
+                        np.add.at(weight, rows, sizes)
                 p = np.exp(total / np.maximum(weight, 1)[:, None])
                 p /= p.sum(axis=1, keepdims=True)
                 known = part.column(2).to_numpy(zero_copy_only=False).astype(bool) & (net is not None)
